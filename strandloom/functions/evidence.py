@@ -135,3 +135,9 @@ def feature_parts(feature: Column) -> Column:
     return F.struct(
         p[0].alias("type"), p[1].alias("name"), F.element_at(p, -1).try_cast("long").alias("ordinal")
     )
+
+
+def failed_tests(*tests: tuple[str, Column]) -> Column:
+    """Names of the tests that hold, as an array; empty when none does."""
+    found = F.array(*[F.when(test, F.lit(tag)) for tag, test in tests])
+    return F.filter(found, lambda r: r.isNotNull())

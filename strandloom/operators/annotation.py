@@ -53,36 +53,39 @@ def repeat_elements(bed: DataFrame) -> DataFrame:
     )
 
 
-def _chain(pdf: pd.DataFrame, max_gap: int) -> pd.DataFrame:
-    """Grow each labelled element over its compatible neighbours, which it consumes."""
-    rows = pdf.sort_values("element").to_dict("records")
-    gone = [False] * len(rows)
-    out = []
-    for i, row in enumerate(rows):
-        if gone[i] or row["label"] == "PART":
-            continue
-        start, end, partners = row["start"], row["end"], list(row["partners"])
-
-        def fits(other):
-            return any(p in other["name"] for p in partners)
-
-        for j in range(i - 1, -1, -1):
-            if gone[j]:
-                continue
-            if not 0 <= start - rows[j]["end"] <= max_gap:
-                break
-            if fits(rows[j]):
-                start, gone[j] = rows[j]["start"], True
-        for j in range(i + 1, len(rows)):
-            if gone[j]:
+def _chainer(max_gap: int):
+    """Group function that grows each labelled element over its compatible neighbours.
+
+    It is built inside a function so that it travels to the workers by value.
+    """
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("element").to_dict("records")
+        gone = [False] * len(rows)
+        out = []
+        for i, row in enumerate(rows):
+            if gone[i] or row["label"] == "PART":
                 continue
-            if not 0 <= rows[j]["start"] - end <= max_gap:
-                break
-            if fits(rows[j]):
-                end, gone[j] = rows[j]["end"], True
-        gone[i] = True
-        out.append((row["chrom"], start, end, row["name"], row["element"], row["label"], row["strand"]))
-    return pd.DataFrame(out, columns=["chrom", "start", "end", "name", "element", "label", "strand"])
+            start, end, partners = row["start"], row["end"], list(row["partners"])
+            for j in range(i - 1, -1, -1):
+                if gone[j]:
+                    continue
+                if not 0 <= start - rows[j]["end"] <= max_gap:
+                    break
+                if any(p in rows[j]["name"] for p in partners):
+                    start, gone[j] = rows[j]["start"], True
+            for j in range(i + 1, len(rows)):
+                if gone[j]:
+                    continue
+                if not 0 <= rows[j]["start"] - end <= max_gap:
+                    break
+                if any(p in rows[j]["name"] for p in partners):
+                    end, gone[j] = rows[j]["end"], True
+            gone[i] = True
+            out.append((row["chrom"], start, end, row["name"], row["element"], row["label"], row["strand"]))
+        return pd.DataFrame(out, columns=["chrom", "start", "end", "name", "element", "label", "strand"])
+
+    return chain
 
 
 def chain_repeats(elements: DataFrame, families: DataFrame, max_gap: int = 500) -> DataFrame:
@@ -99,7 +102,7 @@ def chain_repeats(elements: DataFrame, families: DataFrame, max_gap: int = 500)
     islands = with_islands(known, ["chrom"], "start", "end", max_gap)
     cols = ["chrom", "island_start", "element", "name", "start", "end", "label", "strand", "partners"]
     return islands.select(*cols).groupBy("chrom", "island_start").applyInPandas(
-        lambda pdf: _chain(pdf, max_gap),
+        _chainer(max_gap),
         "chrom string, start long, end long, name string, element long, label string, strand string",
     )
 
