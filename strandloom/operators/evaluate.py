@@ -82,8 +82,8 @@ def simulated_counts(
     change. Values depend on the transcript and seed only, not on partitioning.
     """
     def uniform(tag):
-        h = F.pmod(F.xxhash64("transcript", F.lit(seed), F.lit(tag)), F.lit(1 << 40))
-        return h / float(1 << 40)
+        digest = F.md5(F.concat_ws(":", "transcript", F.lit(seed), F.lit(tag)))
+        return F.conv(F.substring(digest, 1, 10), 16, 10).cast("long") / float(1 << 40)
 
     u = uniform("count")
     share = u if beta is None else 1 - F.pow(1 - u, F.lit(1.0 / beta))
