@@ -8,16 +8,8 @@ from pyspark.sql import functions as F
 
 def tag_map(tags: Column) -> Column:
     """``['AS:i:100', ...]`` -> map of tag name to value; the last duplicate wins."""
-    entries = F.filter(
-        F.transform(
-            tags,
-            lambda t: F.struct(
-                F.regexp_extract(t, r"([^:]+):\w:(.+)", 1).alias("k"),
-                F.regexp_extract(t, r"([^:]+):\w:(.+)", 2).alias("v"),
-            ),
-        ),
-        lambda e: e["k"] != "",
-    )
+    parts = F.filter(F.transform(tags, lambda t: F.split(t, ":", 3)), lambda p: F.size(p) == 3)
+    entries = F.transform(parts, lambda p: F.struct(p[0].alias("k"), p[2].alias("v")))
     last = F.filter(
         entries,
         lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["k"] == e["k"]),

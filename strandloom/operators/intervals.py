@@ -232,9 +232,13 @@ def _binned(df, start, end, other_levels):
     return spread.withColumn("_bin", F.explode(bins))
 
 
-def _levels_of(df, start, end):
-    """Distinct bin levels; at most 32 values exist whatever the row count."""
-    return sorted(r[0] for r in df.select(_level(start, end).alias("v")).distinct().collect())
+def _levels_in_use(left, left_span, right, right_span):
+    """Distinct bin levels of both sides; at most 32 values each, whatever the row count."""
+    sides = left.select(F.lit("l").alias("side"), _level(*left_span).alias("v")).union(
+        right.select(F.lit("r").alias("side"), _level(*right_span).alias("v"))
+    )
+    rows = sides.distinct().collect()
+    return [sorted(r.v for r in rows if r.side == side) for side in ("l", "r")]
 
 
 def range_join(
@@ -256,7 +260,7 @@ def range_join(
     """
     keys = list(keys)
     (ls, le), (rs, re_) = left_span, right_span
-    l_levels, r_levels = _levels_of(left, ls, le), _levels_of(right, rs, re_)
+    l_levels, r_levels = _levels_in_use(left, left_span, right, right_span)
     a = _binned(left, ls, le, r_levels).withColumnRenamed("_own", "_lown")
     b = _binned(right, rs, re_, l_levels).withColumnRenamed("_own", "_rown")
     hit = (

@@ -297,7 +297,7 @@ def formatted_path(t):
     g = t["gaf_pairs"].select(
         "pair", pt.signed_nodes(F.col("path1")).alias("nodes"), F.col("start1").alias("h"), (104 - F.col("end1")).alias("x")
     )
-    done = extract.formatted_path(g, t["node_len"], "pair", "nodes", "h", "x", "steps")
+    done = extract.formatted_paths(g, t["node_len"], "pair", {"steps": ("nodes", "h", "x")})
     return done.select("pair", pt.render_steps(F.col("steps")).alias("path"))
 
 
