@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandloom.functions.paths import let
+
 
 def tag_map(tags: Column) -> Column:
     """``['AS:i:100', ...]`` -> map of tag name to value; the last duplicate wins."""
-    parts = F.filter(F.transform(tags, lambda t: F.split(t, ":", 3)), lambda p: F.size(p) == 3)
-    entries = F.transform(parts, lambda p: F.struct(p[0].alias("k"), p[2].alias("v")))
-    last = F.filter(
-        entries,
-        lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["k"] == e["k"]),
-    )
-    return F.map_from_entries(last)
+    names = F.transform(tags, lambda t: F.substring_index(t, ":", 1))
+    direct = F.str_to_map(F.array_join(tags, "\t"), F.lit("\t"), F.lit(r":\w:"))
+
+    def last_wins(p):
+        rest = p["names"]
+        kept = F.filter(p["tags"], lambda t, i: ~F.array_contains(F.slice(rest, i + 2, F.size(rest)), F.get(rest, i)))
+        return F.str_to_map(F.array_join(kept, "\t"), F.lit("\t"), F.lit(r":\w:"))
+
+    repeated = F.size(F.array_distinct(names)) < F.size(names)
+    slow = let(F.struct(tags.alias("tags"), names.alias("names")), last_wins)
+    return F.when(repeated, slow).otherwise(direct)
 
 
 def matched_bases(cs: Column) -> Column:

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from strandloom.model import SRC_BOTH, SRC_MATE1, SRC_MATE2, SRC_STEPS, STEPS
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row.
+
+    Inside a higher-order function an expression from outside is evaluated again for
+    every element; bound to a variable it is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def signed_nodes(path: Column) -> Column:
     """``>12<13`` -> ``[12, -13]``."""
     tokens = F.regexp_extract_all(path, F.lit("([<>])([0-9]+)"), F.lit(0))
@@ -34,10 +43,15 @@ def node_span(*paths: Column) -> Column:
 
 def suffix_prefix(a: Column, b: Column) -> Column:
     """Length of the longest suffix of ``a`` that is a prefix of ``b`` (0 when none)."""
-    shorter = F.least(F.size(a), F.size(b))
-    sizes = F.when(shorter > 0, F.sequence(F.lit(1), shorter)).otherwise(F.array().cast("array<int>"))
-    fits = F.filter(sizes, lambda k: F.slice(a, F.size(a) - k + 1, k) == F.slice(b, F.lit(1), k))
-    return F.coalesce(F.array_max(fits), F.lit(0))
+
+    def longest(p):
+        x, y = p["a"], p["b"]
+        shorter = F.least(F.size(x), F.size(y))
+        sizes = F.when(shorter > 0, F.sequence(F.lit(1), shorter)).otherwise(F.array().cast("array<int>"))
+        fits = F.filter(sizes, lambda k: F.slice(x, F.size(x) - k + 1, k) == F.slice(y, F.lit(1), k))
+        return F.coalesce(F.array_max(fits), F.lit(0))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), longest)
 
 
 def parse_steps(text: Column) -> Column:
@@ -131,13 +145,18 @@ def render_completed(steps: Column) -> Column:
 
 def last_per_node(steps: Column) -> Column:
     """Keep the last step of every node, as a map keyed by node would."""
+
+    def latest(p):
+        nodes = p["nodes"]
+        return F.filter(
+            p["steps"],
+            lambda s, i: ~F.array_contains(F.slice(nodes, i + 2, F.size(nodes)), s["node"]),
+        )
+
     nodes = F.transform(steps, lambda s: s["node"])
-    return F.filter(
-        steps,
-        lambda s, i: ~F.exists(
-            F.slice(nodes, i + 2, F.size(nodes)), lambda later: later == s["node"]
-        ),
-    )
+    kept = let(F.struct(steps.alias("steps"), nodes.alias("nodes")), latest)
+    repeated = F.size(F.array_distinct(nodes)) < F.size(nodes)
+    return F.when(repeated, kept).otherwise(steps)
 
 
 def span_overlap(length: Column, head_a: Column, tail_a: Column, head_b: Column, tail_b: Column) -> Column:

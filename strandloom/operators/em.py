@@ -86,8 +86,8 @@ def em_counts(
     features = weights.select("feature").distinct().join(unique, "feature", "left").select(
         "feature", F.coalesce("unique_reads", F.lit(0)).cast("double").alias("unique_reads")
     )
-    k = weights.select("feature").distinct().count()
-    reads = weights.agg(F.count_distinct("read")).first()[0]
+    k = features.count()
+    reads = weights.select("read").distinct().count()
     start = reads / k if k else 0.0
     state = cut_lineage(
         features.withColumns({"total": F.lit(start), "shared": F.lit(1.0), "moved": F.lit(0.0)})

@@ -142,14 +142,15 @@ def depth_segments(
 ) -> DataFrame:
     """Piecewise constant depth: ``keys, seg_start, seg_end, depth`` including zero-depth gaps.
 
-    The last breakpoint of a key closes the previous segment and opens none.
+    At a breakpoint the sum of all earlier changes is the depth of the stretch that
+    ends there, so one scan yields both ends and the depth.
     """
-    steps = _depth_steps(df, keys, start, end).withColumn("back", -F.col("pos"))
-    depth = prefix_scan(steps, keys, ["pos"], tile_of("pos", tile_width), {"before": ("sum", "delta")})
-    depth = depth.withColumn("depth", F.col("before") + F.col("delta"))
-    closed = prefix_scan(depth, keys, ["back"], tile_of("back", tile_width), {"seg_end": ("previous", "pos")})
-    return closed.filter(F.col("seg_end").isNotNull()).select(
-        *keys, F.col("pos").alias("seg_start"), "seg_end", "depth"
+    steps = _depth_steps(df, keys, start, end)
+    scanned = prefix_scan(
+        steps, keys, ["pos"], tile_of("pos", tile_width), {"depth": ("sum", "delta"), "seg_start": ("previous", "pos")}
+    )
+    return scanned.filter(F.col("seg_start").isNotNull()).select(
+        *keys, "seg_start", F.col("pos").alias("seg_end"), "depth"
     )
 
 
@@ -163,20 +164,15 @@ def pileup_totals(df: DataFrame, keys: Sequence[str], start: str, end: str) -> D
     )
 
 
-def _excess_before(df, keys, start, end, max_depth, tile_width):
+def _excess_upto(df, keys, start, end, max_depth, tile_width):
     """Per breakpoint, the number of positions before it deeper than ``max_depth``."""
-    seg = depth_segments(df, keys, start, end, tile_width)
-    steps = seg.select(
-        *keys,
-        F.col("seg_start").alias("pos"),
-        "seg_end",
-        F.when(F.col("depth") > max_depth, F.col("seg_end") - F.col("seg_start")).otherwise(0).alias("deep"),
-    )
-    scanned = prefix_scan(steps, keys, ["pos"], tile_of("pos", tile_width), {"excess": ("sum", "deep")})
-    last = scanned.groupBy(*keys).agg(
-        F.max("seg_end").alias("pos"), F.max(F.col("excess") + F.col("deep")).alias("excess")
-    )
-    return scanned.select(*keys, "pos", "excess").unionByName(last)
+    steps = _depth_steps(df, keys, start, end)
+    tile = tile_of("pos", tile_width)
+    scanned = prefix_scan(steps, keys, ["pos"], tile, {"depth": ("sum", "delta"), "from": ("previous", "pos")})
+    deep = F.when(F.col("depth") > max_depth, F.col("pos") - F.col("from")).otherwise(0)
+    marked = scanned.select(*keys, "pos", deep.alias("deep"))
+    summed = prefix_scan(marked, keys, ["pos"], tile, {"excess": ("sum", "deep")})
+    return summed.select(*keys, "pos", (F.col("excess") + F.col("deep")).alias("excess"))
 
 
 def over_depth(
@@ -194,7 +190,7 @@ def over_depth(
     lookups of the running excess answer the question; no interval is compared
     with any other.
     """
-    excess = _excess_before(df, keys, start, end, max_depth, tile_width)
+    excess = _excess_upto(df, keys, start, end, max_depth, tile_width)
     at_start = excess.select(*keys, F.col("pos").alias(start), F.col("excess").alias("_x0"))
     at_end = excess.select(*keys, F.col("pos").alias(end), F.col("excess").alias("_x1"))
     return (

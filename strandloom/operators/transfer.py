@@ -80,7 +80,8 @@ def lift_ids(
         F.regexp_extract("p", pattern, 3).cast("long").alias("end"),
         (F.regexp_extract("p", pattern, 4) if stranded else F.lit(".")).alias("strand"),
     )
-    spans = merged_spans(parsed, [*kept, "chrom", "strand"], "start", "end", max_gap)
+    # All regions of a query come from the id list in one input row.
+    spans = merged_spans(parsed, [*kept, "chrom", "strand"], "start", "end", max_gap, tile_width=None)
     return spans.select(
         *kept, "chrom", F.col("island_start").alias("start"), F.col("island_end").alias("end"), "strand"
     )

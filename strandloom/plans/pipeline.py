@@ -51,12 +51,12 @@ def overlap_features(keep: DataFrame, feature_ranges: DataFrame, features: DataF
 
 
 def assign_clusters_counts(
-    body: DataFrame, flank: DataFrame | None, features: DataFrame, spans: DataFrame, keep: DataFrame,
+    body: DataFrame, flank: DataFrame | None, alignments: DataFrame, features: DataFrame, spans: DataFrame, keep: DataFrame,
     strand: str = "r", support: int = 10, min_haps: int = 10, min_samples: int = 10,
     feature_nodes: DataFrame | None = None, node_haps: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, EmCounts]:
     """Assignment, clustering and counting: ``(assigned, residual, counts)``."""
-    assign = cut_lineage(grow_assign(body, flank, features, strand, support))
+    assign = cut_lineage(grow_assign(body, flank, alignments, features, strand, support))
     members, _, lengths = cluster_features(assign, spans, feature_nodes, node_haps, min_haps, min_samples)
     names = members.groupBy("seed").agg(
         F.array_join(

@@ -203,12 +203,12 @@ def _growth_rows(t):
     reads, feats = _read_paths(t), _feature_paths(t)
     wide = reads.withColumn("path", F.concat("path", F.array(_bare_step(F.col("n") - 1), _bare_step(F.col("n") + 2))))
     cand = _candidates(wide.select("alignment", F.col("path").cast(STEPS).alias("path")), feats)
-    rows = cand.join(reads, "alignment").select(
-        "feature", "alignment", "read", F.col("rf").alias("sample"), "score", F.lit(0).alias("frag"), F.lit(0).alias("mm_total"),
+    rows = reads.select(
+        "alignment", "read", F.col("rf").alias("sample"), "score", F.lit(0).alias("frag"), F.lit(0).alias("mm_total"),
         F.lit(0).alias("mm_index"), F.lit(None).cast("string").alias("lin"),
         F.transform("path", lambda s: s.withField("src", F.lit(1))).cast(SRC_STEPS).alias("path"),
     )
-    return rows, feats.withColumn("flen", F.lit(100.0))
+    return cand, rows, feats.withColumn("flen", F.lit(100.0))
 
 
 def _bare_step(node):
@@ -252,8 +252,8 @@ def _grow_check(rounds: int, support: int) -> str:
 @query("g08_region_growth", _grow_check(2, 2))
 def region_growth(t):
     """Two rounds over all features at once; A-03, A-12 and A-13 inside."""
-    rows, feats = _growth_rows(t)
-    return growth.grow_assign(rows, None, feats, "r", 2, "sample", 30, 2).select("feature", "alignment")
+    cand, rows, feats = _growth_rows(t)
+    return growth.grow_assign(cand, None, rows, feats, "r", 2, "sample", 30, 2).select("feature", "alignment")
 
 
 @query(
@@ -274,8 +274,8 @@ def region_growth(t):
        SELECT feature, alignment, 0 AS step FROM first UNION ALL SELECT feature, alignment, 1 FROM h2 WHERE same > 20 AND same > 0.8 * total AND (feature, alignment) NOT IN (SELECT feature, alignment FROM first)""",
 )
 def range_growth(t):
-    rows, feats = _growth_rows(t)
-    return growth.range_growth(rows, feats, "r", 3)
+    cand, rows, feats = _growth_rows(t)
+    return growth.range_growth(cand, rows, feats, "r", 3)
 
 
 CLOSURE = """SELECT alignment, n * 40 AS s, n * 40 + 3 + ln AS e, n * 40 + 40 * 50 + score AS branch FROM {alignments}"""
