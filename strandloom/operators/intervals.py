@@ -98,7 +98,8 @@ def uncovered_breaks(
             {"break_from": ("max", "_e")},
         )
     else:
-        rows = df.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))
+        # Equal intervals cannot open a break after each other.
+        rows = df.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e")).distinct()
         scanned = prefix_scan(
             rows, keys, ["_s", "_e"], tile_of("_s", tile_width), {"break_from": ("previous", "_e")}
         )
@@ -273,3 +274,21 @@ def range_join(
         raise ValueError("how must be 'inner', or 'left' with left_id")
     missed = left.join(pairs.select(*left_id), list(left_id), "left_anti")
     return pairs.unionByName(missed, allowMissingColumns=True)
+
+
+def feature_pileup(
+    reads: DataFrame,
+    features: DataFrame,
+    keys: Sequence[str],
+    read_span: tuple[str, str],
+    feature_span: tuple[str, str],
+    read: str,
+    feature: str,
+) -> DataFrame:
+    """Depth of reads inside every feature's span, and how many reads contribute."""
+    (s, e), (fs, fe) = read_span, feature_span
+    met = range_join(
+        reads.select(*keys, s, e, read), features.select(*keys, fs, fe, feature), keys, read_span, feature_span
+    ).select(feature, read, F.greatest(s, fs).alias("_from"), F.least(e, fe).alias("_to"))
+    totals = pileup_totals(met, [feature], "_from", "_to")
+    return totals.join(met.groupBy(feature).agg(F.count_distinct(read).alias("reads")), feature)

@@ -9,7 +9,7 @@ from strandloom.model import STEPS
 from strandloom.operators import (
     annotation, clusters, complete, components, dedupe, evaluate, extract, graphprep, growth, intervals, overlap, transfer,
 )
-from strandloom.operators.scan import tile_of
+from strandloom.operators.scan import prefix_scan, tile_of
 from strandloom.plans.registry import query
 from strandloom.sources import sinks, text
 
@@ -416,6 +416,19 @@ def pileup(t):
     return intervals.pileup_totals(t["spans"], ["chrom"], "s", "e")
 
 
+@query(
+    "a09_feature_pileup",
+    f"""WITH w AS ({WINDOWS}), m AS (SELECT CAST(w.chrom AS STRING) || '-' || CAST(feature AS STRING) AS fid, rid, greatest(s, fs) AS a, least(e, fe) AS b FROM {{spans}} JOIN w ON spans.chrom = w.chrom AND s < fe AND fs < e),
+        ev AS (SELECT fid, pos, SUM(d) AS d FROM (SELECT fid, a AS pos, 1 AS d FROM m UNION ALL SELECT fid, b, -1 FROM m) v GROUP BY fid, pos),
+        sg AS (SELECT fid, lead(pos) OVER (PARTITION BY fid ORDER BY pos) - pos AS len, SUM(d) OVER (PARTITION BY fid ORDER BY pos) AS depth FROM ev)
+        SELECT x.fid, covered, total_depth, peak_depth, reads FROM (SELECT fid, SUM(CASE WHEN depth > 0 THEN len ELSE 0 END) AS covered, SUM(len * depth) AS total_depth, MAX(depth) AS peak_depth
+          FROM sg WHERE len IS NOT NULL GROUP BY fid) x JOIN (SELECT fid, COUNT(DISTINCT rid) AS reads FROM m GROUP BY fid) y ON x.fid = y.fid""",
+)
+def feature_pileup(t):
+    feats = t.sql(WINDOWS).withColumn("fid", F.concat_ws("-", "chrom", "feature"))
+    return intervals.feature_pileup(t["spans"], feats, ["chrom"], ("s", "e"), ("fs", "fe"), "rid", "fid")
+
+
 @query(
     "a10_depth_cap",
     f"""WITH x AS ({DEPTH}) SELECT rid, EXISTS (SELECT 1 FROM x WHERE x.chrom = spans.chrom AND depth > 12 AND a < e AND s < b) AS too_deep FROM {{spans}}""",
@@ -714,6 +727,17 @@ def first_assignment(t):
     return transfer.first_assignment(t["assign"], ["stage", "lin"]).select("lin", "read", "mm_total", "mm_index", "feature")
 
 
+@query(
+    "w10_next_read",
+    """SELECT alignment, read, coalesce(lead(read) OVER (ORDER BY alignment) = read, FALSE) AS continued FROM {alignments}""",
+)
+def next_read(t):
+    """Look-ahead: whether the next line belongs to the same read."""
+    rows = t["alignments"].select("alignment", "read", (-F.col("alignment")).alias("back"))
+    ahead = prefix_scan(rows, [], ["back"], tile_of("back", 1 << 14), {"next": ("previous", "read")})
+    return ahead.select("alignment", "read", F.coalesce(F.col("next") == F.col("read"), F.lit(False)).alias("continued"))
+
+
 @query(
     "w11_differences",
     """WITH a AS (SELECT l_suppkey AS transcript, COUNT(*) AS ecount FROM {lineitem} WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_suppkey AS transcript, COUNT(*) AS ecount FROM {lineitem} WHERE l_returnflag = 'R' GROUP BY 1)
