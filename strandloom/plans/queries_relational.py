@@ -84,6 +84,7 @@ def _candidates(reads, feats):
     f"""WITH r AS ({READ_STEPS}), f AS ({FEATURE_STEPS})
         SELECT alignment, feature, SUM(CASE WHEN dir * fdir * -1 >= 0 THEN greatest(0, least(e, fe) - greatest(s, fs)) ELSE 0 END) AS same,
           SUM(greatest(0, least(e, fe) - greatest(s, fs))) AS total FROM r JOIN f ON r.node = f.node GROUP BY alignment, feature""",
+    longs=("total", "same"),
 )
 def path_overlap(t):
     reads, feats = _read_paths(t), _feature_paths(t)
@@ -241,6 +242,7 @@ def colocation_median(t):
          b AS (SELECT l_suppkey AS transcript, l_returnflag AS sample, SUM(l_linenumber) AS estimate FROM {lineitem} WHERE l_quantity < 10 AND l_tax < 0.01 GROUP BY ALL)
        SELECT coalesce(a.transcript, b.transcript) AS transcript, coalesce(a.sample, b.sample) AS sample, coalesce(truth, 0) AS truth, coalesce(estimate, 0) AS estimate
        FROM a FULL JOIN b ON a.transcript = b.transcript AND a.sample = b.sample""",
+    longs=("estimate",),
 )
 def full_outer(t):
     """P-22: missing counts become zero."""
@@ -358,6 +360,7 @@ MOVES = """SELECT l_partkey * 10 + l_linenumber AS source, 'T' || CAST(l_suppkey
     "a04_first_target",
     f"""WITH b AS (SELECT source, MIN(CASE WHEN coalesce(overlap, 0) <> 0 THEN target END) AS target, MAX(count) AS count FROM ({MOVES}) m GROUP BY source)
         SELECT coalesce(target, '__' || CAST(source AS STRING)) AS target, SUM(count) AS count, COUNT(*) AS sources FROM b GROUP BY 1 HAVING SUM(count) <> 0 OR starts_with(coalesce(MIN(target), '__'), '__')""",
+    longs=("count",),
 )
 def first_target(t):
     return transfer.target_counts(transfer.first_target(t.sql(MOVES)))
@@ -367,6 +370,7 @@ def first_target(t):
     "a05_largest_target",
     f"""WITH r AS (SELECT source, target, count, row_number() OVER (PARTITION BY source ORDER BY overlap DESC NULLS LAST, target) AS k FROM ({MOVES}) m WHERE count <> 0 AND overlap IS NOT NULL)
         SELECT target, SUM(count) AS count, COUNT(*) AS sources FROM r WHERE k = 1 GROUP BY target""",
+    longs=("count",),
 )
 def largest_target(t):
     """S-06: the best target by overlap."""
@@ -411,6 +415,7 @@ DEPTH = """SELECT chrom, pos AS a, lead(pos) OVER (PARTITION BY chrom ORDER BY p
     "a09_pileup",
     f"""SELECT chrom, SUM(CASE WHEN depth > 0 THEN b - a ELSE 0 END) AS covered, SUM((b - a) * depth) AS total_depth, MAX(depth) AS peak_depth
         FROM ({DEPTH}) x WHERE b IS NOT NULL GROUP BY chrom""",
+    longs=("total_depth", "peak_depth", "covered"),
 )
 def pileup(t):
     return intervals.pileup_totals(t["spans"], ["chrom"], "s", "e")
@@ -423,6 +428,7 @@ def pileup(t):
         sg AS (SELECT fid, lead(pos) OVER (PARTITION BY fid ORDER BY pos) - pos AS len, SUM(d) OVER (PARTITION BY fid ORDER BY pos) AS depth FROM ev)
         SELECT x.fid, covered, total_depth, peak_depth, reads FROM (SELECT fid, SUM(CASE WHEN depth > 0 THEN len ELSE 0 END) AS covered, SUM(len * depth) AS total_depth, MAX(depth) AS peak_depth
           FROM sg WHERE len IS NOT NULL GROUP BY fid) x JOIN (SELECT fid, COUNT(DISTINCT rid) AS reads FROM m GROUP BY fid) y ON x.fid = y.fid""",
+    longs=("total_depth", "peak_depth", "covered"),
 )
 def feature_pileup(t):
     feats = t.sql(WINDOWS).withColumn("fid", F.concat_ws("-", "chrom", "feature"))
@@ -646,6 +652,7 @@ BED = """SELECT ord AS ordinal, 'c' || CAST(l_suppkey % 5 AS STRING) AS chrom, l
         SELECT element, coalesce(arg_max(base, ordinal) FILTER (kind = 'INT'), arg_min(base, ordinal)) AS name, SUM(e - s) AS length, arg_max(chrom, ordinal) AS chrom, arg_min(s, ordinal) AS start,
           arg_max(e, ordinal) AS stop, arg_max(strand, ordinal) AS strand, CASE WHEN COUNT(*) FILTER (kind = 'INT') > 0 AND COUNT(*) FILTER (kind = 'LTR') > 0 THEN 'STR' WHEN SUM(e - s) > 1000 THEN 'LEN' ELSE 'PART' END AS label
         FROM r GROUP BY element""",
+    longs=("length",),
 )
 def repeat_elements(t):
     """SRC-10: whitespace BED lines rolled up to elements."""
@@ -772,7 +779,7 @@ def features_by_coverage(t):
     number = ev.feature_parts(F.col("feature"))["ordinal"]
     top = total.orderBy(F.desc(F.round("total", 9)), number).limit(20)
     w = Window.orderBy(F.desc(F.round("total", 9)), number)
-    return top.withColumn("place", F.row_number().over(w)).select("feature", F.round("total", 6).alias("total"), "place")
+    return top.withColumn("place", F.row_number().over(w).cast("long")).select("feature", F.round("total", 6).alias("total"), "place")
 
 
 @query(
@@ -806,6 +813,7 @@ def shared_haplotypes(t):
         f AS (SELECT *, coalesce(MAX(blk) OVER (ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM d),
         h AS (SELECT g, 1 + SUM(CASE WHEN blk > seen THEN 1 ELSE 0 END) OVER (ORDER BY g) AS file_group FROM f)
        SELECT rid, file_group FROM i JOIN h ON i.g = h.g""",
+    longs=("file_group",),
 )
 def file_groups(t):
     rows = t.sql("SELECT rid, (rid * 37) % 9973 * 40 AS s, (rid * 37) % 9973 * 40 + 25 AS e FROM {spans}")

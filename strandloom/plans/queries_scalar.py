@@ -19,6 +19,7 @@ from strandloom.sources import sinks, text
          ':' || CAST(match1 - 30 AS STRING) || '*at:30' AS cs_tag, '0.0' || CAST(ln AS STRING) AS dv_tag FROM {gaf_pairs}
        UNION ALL SELECT pair * 2 + 1, read, 100, path2, CAST(score + ln AS STRING),
          ':' || CAST(match2 - 20 AS STRING) || '-ac:20', NULL FROM {gaf_pairs}""",
+    longs=("read_len",),
 )
 def gaf_scan(t):
     rows = text.parse_gaf(t["gaf_lines"], ["ordinal"])
@@ -214,6 +215,7 @@ def near_first(t):
 @query(
     "p04_identity",
     "SELECT pair, match1 AS matched, round(match1 / 100.0, 6) AS identity, match1 / 100.0 < 0.9 AS low FROM {gaf_pairs}",
+    longs=("matched",),
 )
 def identity(t):
     g = t.sql("SELECT pair, ':' || CAST(match1 - 30 AS STRING) || '*at:30' AS cs, 100 AS len FROM {gaf_pairs}")
@@ -309,6 +311,7 @@ PATH_TEXT = """SELECT alignment, CAST(n * dir AS STRING) || ',' || CAST(20 + ln
     "p10_path_parse",
     f"""SELECT alignment, n AS node, 1 AS dir, 25 AS len, 0 AS head, 3 AS tail FROM ({PATH_TEXT}) p
         UNION ALL SELECT alignment, n + 1, -1, 30, 2, ln FROM ({PATH_TEXT}) q""",
+    longs=("len", "head", "tail"),
 )
 def path_parse(t):
     steps = pt.last_per_node(pt.parse_steps(F.col("path")))
@@ -457,7 +460,7 @@ def unit_ids(t):
         F.col("n").alias("node"), "dir", "len", F.col("ln").cast("long").alias("head"), F.lit(2).cast("long").alias("tail")
     )
     units = pt.unit_ids(step)
-    return a.select("alignment", "len", F.size(units).alias("units"), F.coalesce(F.get(units, F.lit(0)), F.lit("")).alias("first_unit"))
+    return a.select("alignment", "len", F.size(units).cast("long").alias("units"), F.coalesce(F.get(units, F.lit(0)), F.lit("")).alias("first_unit"))
 
 
 @query(
@@ -478,6 +481,7 @@ MATES = """SELECT alignment, CAST(n AS STRING) || ',40,' || CAST(ln AS STRING) |
     "g04_merge_mates",
     f"""SELECT alignment, CAST(n AS STRING) || ',1,40,' || CAST(ln AS STRING) || ',0,1;' || CAST(n + 1 AS STRING) || ',1,50,0,0,3;' ||
          CAST(n + 2 AS STRING) || ',1,60,0,' || CAST(ln + 3 AS STRING) || ',2' AS path, 40 - ln + 50 + 60 - ln - 3 AS frag FROM ({MATES}) m""",
+    longs=("frag",),
 )
 def merge_mates(t):
     m = t.sql(MATES).select("alignment", pt.parse_steps(F.col("p1")).alias("a"), pt.parse_steps(F.col("p2")).alias("b"))
@@ -488,6 +492,7 @@ def merge_mates(t):
 @query(
     "j16_nearest_ids",
     """SELECT pair, CASE WHEN ln <= 4 THEN 0 WHEN dir = 1 THEN 2 ELSE 2 END AS nearest FROM {gaf_pairs} WHERE path2 <> '*'""",
+    longs=("nearest",),
 )
 def nearest_ids(t):
     def ids(c):

@@ -12,8 +12,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 
-def query(name: str, check: str | None = None):
-    """Register a function of :class:`Inputs`; ``check`` is the equivalent SQL, if there is one."""
+def query(name: str, check: str | None = None, longs: tuple[str, ...] = ()):
+    """Register a function of :class:`Inputs`; ``check`` is the equivalent SQL, if there is one.
+
+    ``longs`` names result columns the SQL side would return with another integer width.
+    """
 
     def wrap(fn: Callable[[Inputs], DataFrame]):
         if name in QUERIES:
@@ -25,7 +28,11 @@ def query(name: str, check: str | None = None):
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run
         if check is not None:
-            CHECKS[name] = check_sql(check)
+            sql = check_sql(check)
+            if longs:
+                casts = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in longs)
+                sql = f"SELECT * REPLACE ({casts}) FROM ({sql}) checked"
+            CHECKS[name] = sql
         return fn
 
     return wrap
