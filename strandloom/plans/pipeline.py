@@ -13,7 +13,8 @@ from strandloom.operators.extract import extract_pairs, qc_filter
 from strandloom.operators.graphprep import neighbours, node_lengths, walk_steps
 from strandloom.operators.growth import grow_assign
 from strandloom.operators.intervals import range_join
-from strandloom.operators.overlap import path_overlap, route
+from strandloom.operators.overlap import cap_runs, path_overlap, route, run_key
+from strandloom.operators.scan import tile_of
 from strandloom.operators.transfer import apply_clusters
 from strandloom.session import cut_lineage
 
@@ -36,12 +37,21 @@ def complete_sample(
     return keep, reject, stats
 
 
-def overlap_features(keep: DataFrame, feature_ranges: DataFrame, features: DataFrame, strand: str, min_overlap: int = 30) -> DataFrame:
+def overlap_features(
+    keep: DataFrame, feature_ranges: DataFrame, features: DataFrame, strand: str, min_overlap: int = 30, thin: bool = True
+) -> DataFrame:
     """Chunks against features by node range, then by exact bases: adds ``feature, same, code``.
 
     ``feature_ranges``: feature, start0, end in node ids; ``features``: feature, path.
+    ``thin`` lets at most four reads of a run of identical alignments through, in
+    coordinate order.
     """
     rows = keep.withColumn("alignment", F.concat_ws(":", "sample", "pair"))
+    if thin:
+        order = ["start0", "end", "frag", "_key", "read", "alignment", "chunk"]
+        keyed = cut_lineage(rows.withColumn("_key", run_key(F.col("path"), F.col("frag"))))
+        tile = tile_of("start0", 1 << 12)
+        rows = cut_lineage(cap_runs(keyed, order, "_key", "read", tile, sorted_by=order[:4]).drop("_key"))
     ranges = feature_ranges.select("feature", F.col("start0").alias("f0"), F.col("end").alias("f1"))
     near = range_join(rows, ranges, [], ("start0", "end"), ("f0", "f1"), "left", ["alignment", "chunk"]).drop("f0", "f1")
     steps = rows.select("alignment", F.transform("path", lambda s: s.dropFields("src")).alias("path")).dropDuplicates(["alignment"])

@@ -190,3 +190,44 @@ def test_same_result_under_other_partition_counts(spark):
         seen.append(sorted(map(str, keep.collect())))
     spark.conf.set("spark.sql.shuffle.partitions", old)
     assert seen[0] == seen[1]
+
+
+def test_whole_run(spark):
+    """Lines of two samples to clustered counts: two features side by side on one haplotype."""
+    lengths = spark.createDataFrame([(n, 110) for n in (1, 2, 3, 11, 12)], "node long, len long")
+    edges = spark.createDataFrame([(1, 1, 2), (2, 1, 3)], "node long, side int, nbr long")
+    g2l = spark.createDataFrame([(1, "c", 0, 110)], "node long, chrom string, start long, end long")
+    l2g = spark.createDataFrame([("c", 0, 110, 1, 1, 110)], "chrom string, start long, end long, node long, dir int, len long")
+    keeps = None
+    for sample in ("s1", "s2"):
+        lines = []
+        for i in range(6):
+            lines += [(4 * i, _line(f"{sample}r{i}", ">1>2")), (4 * i + 1, _line(f"{sample}r{i}", "<3<2"))]
+            lines += [(4 * i + 2, _line(f"{sample}q{i}", ">11")), (4 * i + 3, _line(f"{sample}q{i}", "<11"))]
+        gaf = text.parse_gaf(spark.createDataFrame(lines, "ordinal long, value string"), ["ordinal"])
+        keep, _, _ = pipeline.complete_sample(gaf, lengths, edges, g2l, l2g, sample, max_depth=50)
+        keeps = keep if keeps is None else keeps.union(keep)
+    feats = spark.createDataFrame(
+        [("T|a|1", 110.0, [(1, -1, 110, 0, 0)]), ("T|b|2", 110.0, [(3, -1, 110, 0, 0)]), ("T|c|3", 110.0, [(11, 1, 110, 0, 0)])],
+        f"feature string, flen double, path {STEPS}",
+    )
+    ranges = spark.createDataFrame([("T|a|1", 0, 1), ("T|b|2", 2, 3), ("T|c|3", 10, 11)], "feature string, start0 long, end long")
+    routed = pipeline.overlap_features(keeps, ranges, feats, "r", thin=False)
+    codes = sorted((r.feature, r.code) for r in routed.select("feature", "code").distinct().collect())
+    assert codes == [("T|a|1", "O"), ("T|b|2", "O"), ("T|c|3", "A")]
+    # every alignment looks the same, so only four reads of the run pass
+    thinned = pipeline.overlap_features(keeps, ranges, feats, "r")
+    assert thinned.filter("feature = 'T|a|1'").count() == 4
+    body = routed.filter("code = 'O'").select("feature", "alignment")
+    alignments = keeps.select(
+        F.concat_ws(":", "sample", "pair").alias("alignment"), "read", "sample", "score", "frag", "mm_total", "mm_index",
+        F.col("lin_chrom").alias("lin"), "path",
+    ).dropDuplicates(["alignment"])
+    spans = spark.createDataFrame([("T|a|1", "h1", 100, 209, 1), ("T|b|2", "h1", 400, 509, 1)], "feature string, hap string, start long, end long, dir int")
+    first, residual, counts = pipeline.assign_clusters_counts(
+        body, None, alignments, feats, spans, keeps.select("read", "mm_index", "pair"), "r", 2, 1, 1
+    )
+    assert residual.count() == 0
+    assert {(r.feature, r["count"]) for r in counts.counts.collect()} == {("T|a|1.J", 12)}
+    # the frame spans both features: 409 bases from the first start to the last end
+    assert {r.flen for r in first.select("flen").collect()} == {410.0}
