@@ -8,9 +8,9 @@ is a graph node, an order priority is a sample.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +88,7 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self._made = spark, folder, {}
+        self.prefix = "in_" + hashlib.md5(folder.encode()).hexdigest()[:10]
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:
@@ -99,14 +100,14 @@ class Inputs:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         if name == "ranked":
             tile = F.floor(F.col("l_extendedprice") / 100)
-            rows = numbered(self["lineitem"], [], ROW_ORDER, tile, "ord").withColumn("ord", F.col("ord") - 1)
-            # This stands for the input file; equal plans share one copy across queries.
-            return rows.persist(StorageLevel.DISK_ONLY)
+            return numbered(self["lineitem"], [], ROW_ORDER, tile, "ord").withColumn("ord", F.col("ord") - 1)
         return self.sql(SPARK_SPANS if name == "spans" else VIEWS[name])
 
     def sql(self, text: str) -> DataFrame:
-        used = {n: self[n] for n in dict.fromkeys(_NAME.findall(text))}
-        return self.spark.sql(text, **used)
+        """Run SQL over tables and views written ``{name}``."""
+        for name in dict.fromkeys(_NAME.findall(text)):
+            self[name].createOrReplaceTempView(f"{self.prefix}_{name}")
+        return self.spark.sql(_NAME.sub(rf"{self.prefix}_\1", text))
 
 
 def _needed(text: str, seen: dict[str, str]) -> None:

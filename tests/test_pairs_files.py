@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.model import STEPS
 from strandloom.operators import complete, extract, graphprep, overlap
 from strandloom.operators.scan import tile_of
-from strandloom.plans import pipeline
+from strandloom.plans import stages
 from strandloom.sources import sinks, text
 from strandloom.streaming import filters
 
@@ -113,7 +113,7 @@ def test_graph_from_gfa(spark, tmp_path):
     gfa = tmp_path / "g.gfa"
     gfa.write_text("H\tx\nS\t1\tACGT\nS\t2\tA\nS\t3\t\nW\ts\t1\tc\t0\t9\t>1>2<40\nW\tt\t1\tc\t0\t9\t<40\n")
     segments, walks = text.read_gfa(spark, str(gfa))
-    lengths, edges = pipeline.build_graph(segments, walks)
+    lengths, edges = stages.build_graph(segments, walks)
     assert [tuple(r) for r in lengths.collect()] == [(1, 4)]
     lists = {r.node: (r.before, r.after, r.len) for r in graphprep.neighbour_lists(edges, lengths).collect()}
     assert lists == {1: (None, "2", 4), 2: ("1", "-40", 1), 40: (None, "-2", 1)}
@@ -205,18 +205,18 @@ def test_whole_run(spark):
             lines += [(4 * i, _line(f"{sample}r{i}", ">1>2")), (4 * i + 1, _line(f"{sample}r{i}", "<3<2"))]
             lines += [(4 * i + 2, _line(f"{sample}q{i}", ">11")), (4 * i + 3, _line(f"{sample}q{i}", "<11"))]
         gaf = text.parse_gaf(spark.createDataFrame(lines, "ordinal long, value string"), ["ordinal"])
-        keep, _, _ = pipeline.complete_sample(gaf, lengths, edges, g2l, l2g, sample, max_depth=50)
+        keep, _, _ = stages.complete_sample(gaf, lengths, edges, g2l, l2g, sample, max_depth=50)
         keeps = keep if keeps is None else keeps.union(keep)
     feats = spark.createDataFrame(
         [("T|a|1", 110.0, [(1, -1, 110, 0, 0)]), ("T|b|2", 110.0, [(3, -1, 110, 0, 0)]), ("T|c|3", 110.0, [(11, 1, 110, 0, 0)])],
         f"feature string, flen double, path {STEPS}",
     )
     ranges = spark.createDataFrame([("T|a|1", 0, 1), ("T|b|2", 2, 3), ("T|c|3", 10, 11)], "feature string, start0 long, end long")
-    routed = pipeline.overlap_features(keeps, ranges, feats, "r", thin=False)
+    routed = stages.overlap_features(keeps, ranges, feats, "r", thin=False)
     codes = sorted((r.feature, r.code) for r in routed.select("feature", "code").distinct().collect())
     assert codes == [("T|a|1", "O"), ("T|b|2", "O"), ("T|c|3", "A")]
     # every alignment looks the same, so only four reads of the run pass
-    thinned = pipeline.overlap_features(keeps, ranges, feats, "r")
+    thinned = stages.overlap_features(keeps, ranges, feats, "r")
     assert thinned.filter("feature = 'T|a|1'").count() == 4
     body = routed.filter("code = 'O'").select("feature", "alignment")
     alignments = keeps.select(
@@ -224,7 +224,7 @@ def test_whole_run(spark):
         F.col("lin_chrom").alias("lin"), "path",
     ).dropDuplicates(["alignment"])
     spans = spark.createDataFrame([("T|a|1", "h1", 100, 209, 1), ("T|b|2", "h1", 400, 509, 1)], "feature string, hap string, start long, end long, dir int")
-    first, residual, counts = pipeline.assign_clusters_counts(
+    first, residual, counts = stages.assign_clusters_counts(
         body, None, alignments, feats, spans, keeps.select("read", "mm_index", "pair"), "r", 2, 1, 1
     )
     assert residual.count() == 0
