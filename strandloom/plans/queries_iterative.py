@@ -240,7 +240,7 @@ def _grow_check(rounds: int, support: int) -> str:
             f"taken{i + 1} AS MATERIALIZED (SELECT * FROM taken{i} UNION ALL SELECT * FROM fresh{i})",
             f"new{i} AS (SELECT st.* FROM st JOIN fresh{i} USING (feature, alignment))",
             f"""vote{i} AS (SELECT feature, node, CASE WHEN rev IS NULL THEN 1 WHEN fwd IS NULL THEN -1 WHEN rev > 2 * fwd THEN -1 WHEN fwd > 2 * rev THEN 1 ELSE 0 END AS v FROM (
-                  SELECT feature, node, SUM(CASE WHEN dir > 0 THEN c END) AS fwd, SUM(CASE WHEN dir < 0 THEN c END) AS rev FROM new{i} n WHERE NOT EXISTS (SELECT 1 FROM reg{i} g WHERE g.feature = n.feature AND g.node = n.node) GROUP BY ALL) q)""",
+                  SELECT feature, node, round(SUM(CASE WHEN dir > 0 THEN c END), 9) AS fwd, round(SUM(CASE WHEN dir < 0 THEN c END), 9) AS rev FROM new{i} n WHERE NOT EXISTS (SELECT 1 FROM reg{i} g WHERE g.feature = n.feature AND g.node = n.node) GROUP BY ALL) q)""",
             f"""all{i} AS (SELECT feature, node, dir, s, e FROM reg{i} UNION ALL SELECT n.feature, n.node, g.dir, n.s, n.e FROM new{i} n JOIN (SELECT DISTINCT feature, node, dir FROM reg{i}) g
                   ON n.feature = g.feature AND n.node = g.node AND n.dir * g.dir * -1 >= 0 WHERE n.s < n.e
                   UNION ALL SELECT n.feature, n.node, v, n.s, n.e FROM new{i} n JOIN vote{i} x ON n.feature = x.feature AND n.node = x.node WHERE (v = 0 OR n.dir = v) AND n.s < n.e)""",
@@ -264,7 +264,7 @@ def region_growth(t):
               FROM st JOIN f ON st.feature = f.feature AND st.node = f.node GROUP BY ALL),
         h1 AS (SELECT feature, alignment FROM h WHERE same > 20 AND same > 0.8 * total),
         first AS MATERIALIZED (SELECT * FROM h1 WHERE feature IN (SELECT feature FROM h1 JOIN smp USING (alignment) GROUP BY feature HAVING COUNT(DISTINCT rf) >= 3)),
-        seed AS MATERIALIZED (SELECT st.* FROM st JOIN first USING (feature, alignment)), sc AS (SELECT feature, node, dir, SUM(c * (e - s)) AS score FROM seed GROUP BY ALL),
+        seed AS MATERIALIZED (SELECT st.* FROM st JOIN first USING (feature, alignment)), sc AS (SELECT feature, node, dir, round(SUM(c * (e - s)), 9) AS score FROM seed GROUP BY ALL),
         best AS (SELECT feature, node, dir FROM (SELECT *, row_number() OVER (PARTITION BY feature, node ORDER BY score DESC, dir DESC) AS k FROM sc) q WHERE k = 1),
         sp AS (SELECT DISTINCT seed.feature, seed.node, seed.dir, s, e FROM seed JOIN best ON seed.feature = best.feature AND seed.node = best.node AND seed.dir = best.dir WHERE s < e),
         reg AS MATERIALIZED (SELECT feature, node, dir AS gdir, MIN(s) AS gs, MAX(e) AS ge FROM (SELECT *, SUM(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY feature, node, dir ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g

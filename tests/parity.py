@@ -50,7 +50,8 @@ def difference(df, con, sql: str) -> str | None:
         return f"columns {sorted(df.columns)} vs {sorted(names)}"
     a, b = _rows(df.columns, got), _rows(names, want)
     if len(a) != len(b):
-        return f"{len(a)} rows vs {len(b)}; " + str([x for x in a if x not in b][:2])[:300] + str([x for x in b if x not in a][:2])[:300]
+        only_a, only_b = set(a) - set(b), set(b) - set(a)
+        return f"{len(a)} rows vs {len(b)}; {list(only_a)[:2]} {list(only_b)[:2]}"[:600]
     bad = [(x, y) for x, y in zip(a, b) if x != y]
     if bad:
         return f"{len(bad)} of {len(a)} rows differ, first {bad[0]} columns {sorted(names)}"
