@@ -65,3 +65,25 @@ def op2(spark, folder):
     from strandloom.llm import bands
 
     return bands.compression_bands(documents(spark, folder))
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query("op6_best_fit_packing")
+def op6(spark, folder):
+    """All documents packed into sequences of 2048 tokens."""
+    from strandloom.llm import packing
+
+    return packing.best_fit_packing(documents(spark, folder), vocabulary("word_bpe_49k.json"), 2048)
+
+
+@query("op7_token_counts")
+def op7(spark, folder):
+    """Greedy longest-match token counts of every document."""
+    from strandloom.llm import longest_match
+
+    return longest_match.token_counts(documents(spark, folder), vocabulary("byte_bpe_50k.tiktoken"))
