@@ -87,3 +87,11 @@ def op7(spark, folder):
     from strandloom.llm import longest_match
 
     return longest_match.token_counts(documents(spark, folder), vocabulary("byte_bpe_50k.tiktoken"))
+
+
+@query("op10_lm_scoring")
+def op10(spark, folder):
+    """Unigram base score and subword lattice score of every document."""
+    from strandloom.llm import fm, lattice
+
+    return lattice.lm_scores(documents(spark, folder), vocabulary("piece_bpe_32k.model"), fm.fold("doc_id") == 1)
