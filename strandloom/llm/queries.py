@@ -95,3 +95,17 @@ def op10(spark, folder):
     from strandloom.llm import fm, lattice
 
     return lattice.lm_scores(documents(spark, folder), vocabulary("piece_bpe_32k.model"), fm.fold("doc_id") == 1)
+
+
+def _secrets_check() -> str:
+    from strandloom.llm import secrets
+
+    return secrets.oracle()
+
+
+@query("op3_secret_scans", _secrets_check())
+def op3(spark, folder):
+    """Secret spans of every document; added ones belong to few owners."""
+    from strandloom.llm import secrets
+
+    return secrets.secret_spans(documents(spark, folder))
