@@ -24,8 +24,9 @@ ASSIGN = (
     r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"""
     r"""["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 )
-ACCESS = "()(AKIA[A-Z0-9]+)"
-HEX = "()([0-9a-f]+)"
+# A run that is too short holds no longer match, so the least lengths of these two stand in the patterns.
+ACCESS = "()(AKIA[A-Z0-9]{16,})"
+HEX = "()([0-9a-f]{24,})"
 MIXED = "()([A-Za-z0-9+/_-]{24,})"
 
 #: Kinds in their order within a list of spans: pattern, least length of the value, cheap test of a text.
