@@ -24,21 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import arrays
-from strandloom.session import ensure_checkpoint_dir
+from strandloom.llm.storage import stored
 
 START = "▁".encode()
 _OCCURS = "word binary, train long, keys array<long>, tfs array<int>, key long, doc_id long, held_out boolean, n_words long"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared checkpoint folder and read it back."""
-    import uuid
-
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _chunk_rows(words: list[pa.Array], owners: list[np.ndarray], train: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
     coded = pa.chunked_array(words).combine_chunks().dictionary_encode()
     code = coded.indices.to_numpy().astype(np.int64)

@@ -109,3 +109,17 @@ def op3(spark, folder):
     from strandloom.llm import secrets
 
     return secrets.secret_spans(documents(spark, folder))
+
+
+def _spaced_check() -> str:
+    from strandloom.llm import spaced
+
+    return spaced.oracle()
+
+
+@query("op4_benchmark_decontamination", _spaced_check())
+def op4(spark, folder):
+    """Documents and the benchmark items they hold, up to substituted tokens."""
+    from strandloom.llm import spaced
+
+    return spaced.contaminated(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
