@@ -123,3 +123,11 @@ def op4(spark, folder):
     from strandloom.llm import spaced
 
     return spaced.contaminated(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+@query("op5_substring_dedup")
+def op5(spark, folder):
+    """Every document without the words of passages of 35 words that also occur elsewhere."""
+    from strandloom.llm import recompress
+
+    return recompress.remove_repeats(documents(spark, folder))
