@@ -131,3 +131,11 @@ def op5(spark, folder):
     from strandloom.llm import recompress
 
     return recompress.remove_repeats(documents(spark, folder))
+
+
+@query("op9_suffix_array_dedup")
+def op9(spark, folder):
+    """Every document without the bytes of 50-byte strings that also start in a document of smaller id."""
+    from strandloom.llm import suffixes
+
+    return suffixes.remove_repeats(documents(spark, folder))
