@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import arrays
-from strandloom.llm.storage import stored
+from strandloom.llm.storage import Tables
 
 _PLACES = "doc_id long, hash int, first int, last int, name long, stretch long"
 _WINDOWS = "doc_id long, hash int, at int, name long, window long"
@@ -242,13 +242,15 @@ def repeated_windows(texts: DataFrame, width: int, rounds: int) -> DataFrame:
 
     ``texts`` has _key, hash, doc_id and text. A name's rows meet only as counts and as a join with skew handling.
     """
+    tables = Tables(texts.sparkSession)
     slim = texts.select(F.col("_key").alias("doc_id"), "hash", "text")
-    spots = stored(slim.mapInArrow(_find_places(width, rounds), _PLACES), "places")
-    shared = stored(spots.groupBy("name").agg(F.count("*").alias("n"), F.min("stretch").alias("low"), F.max("stretch").alias("high")).where("n > 1").drop("n"), "names")
-    spots = spots.join(shared, "name")
+    spots = tables.store(slim.mapInArrow(_find_places(width, rounds), _PLACES), "places")
+    shared = spots.groupBy("name").agg(F.count("*").alias("n"), F.min("stretch").alias("low"), F.max("stretch").alias("high")).where("n > 1").drop("n")
+    spots = tables.store(spots.join(tables.store(shared, "names"), "name"), "shared")
+    tables.drop("places", "names")
     alike = spots.where("low = high").select("doc_id", "hash", "first", "last")
-    mixed = stored(spots.where("low <> high").select("name", "stretch", "doc_id", "hash", "first", "last"), "mixed")
-    variants = stored(mixed.groupBy("name", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "hash", "first", "last")).alias("one")), "variants")
+    mixed = spots.where("low <> high").select("name", "stretch", "doc_id", "hash", "first", "last")
+    variants = tables.store(mixed.groupBy("name", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "hash", "first", "last")).alias("one")), "variants")
     again = mixed.join(variants.where("n > 1").select("name", "stretch"), ["name", "stretch"]).select("doc_id", "hash", "first", "last")
     # Of equal stretches one stands for all; its windows meet those of the other stretches of that name.
     ones = variants.select("one.*", "name", "n")
@@ -256,7 +258,7 @@ def repeated_windows(texts: DataFrame, width: int, rounds: int) -> DataFrame:
     windows = slim.join(lists, ["doc_id", "hash"]).mapInArrow(_find_windows(width), _WINDOWS)
     twice = windows.groupBy("name", "window").agg(F.count("*").alias("n")).where("n > 1").select("name", "window")
     single = windows.join(twice, ["name", "window"]).select("doc_id", "hash", F.col("at").alias("first"), F.col("at").alias("last"))
-    return alike.unionByName(again).unionByName(single)
+    return alike.unionByName(again).unionByName(tables.store(single, "windows"))
 
 
 def remove_repeats(docs: DataFrame, width: int = 35, rounds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
