@@ -139,3 +139,11 @@ def op9(spark, folder):
     from strandloom.llm import suffixes
 
     return suffixes.remove_repeats(documents(spark, folder))
+
+
+@query("op8_ngram_jaccard_join")
+def op8(spark, folder):
+    """Components of documents whose sets of four-word shingles reach a Jaccard similarity of 0.85."""
+    from strandloom.llm import sigtree
+
+    return sigtree.similar_components(documents(spark, folder))
