@@ -213,6 +213,17 @@ def score_all(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     return slim.mapInArrow(run, f"{id_col} long, score double")
 
 
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, all columns, whose score reaches the threshold; a narrow pass."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in arrays.slices(whole, text_col):
+                found = score(model, *features(batch.column(text_col), model.settings.buckets))
+                yield batch.filter(pa.array(found >= model.settings.threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(id_col: str, folds: int = 5):
     """Remainder of crc32 over the id as text."""
     return F.crc32(F.col(id_col).cast("long").cast("string")) % folds

@@ -5,7 +5,7 @@ space; piece probabilities come from the training documents. A text is its words
 
 Counts cover all documents. One pass turns each chunk of documents into one row per distinct word, with the documents
 that hold it, so a word of every document is a row per chunk and not a row per document. Counting and scoring meet on the
-word; scores go back to documents as partial sums.
+word; scores go back to their chunk, where they are summed by document.
 
 Defined cases: a null or empty text has the end alone; a null id counts as remainder -1, so it trains; equal rows are
 scored alike, each on its own; without training documents N = V = 0 and pieces are equally likely; an empty table gives
@@ -27,13 +27,14 @@ from strandloom.llm import arrays
 from strandloom.llm.storage import stored
 
 START = "▁".encode()
-_OCCURS = "word binary, train long, keys array<long>, tfs array<int>, key long, doc_id long, held_out boolean, n_words long"
+# A row is a word of a chunk (its texts as places in the chunk), or a text (key is its chunk plus its place).
+_OCCURS = "word binary, train long, chunk long, places array<int>, tfs array<int>, key long, doc_id long, held_out boolean, n_words long"
 
 
-def _chunk_rows(words: list[pa.Array], owners: list[np.ndarray], train: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _chunk_rows(words: list[pa.Array], owners: list[np.ndarray], train: np.ndarray, chunk: int) -> Iterator[pa.RecordBatch]:
     coded = pa.chunked_array(words).combine_chunks().dictionary_encode()
     code = coded.indices.to_numpy().astype(np.int64)
-    n = len(keys)
+    n = len(train)
     pair, tf = np.unique(code * n + np.concatenate(owners), return_counts=True)
     code, doc = pair // n, pair % n
     first = np.searchsorted(code, np.arange(len(coded.dictionary) + 1))
@@ -45,7 +46,8 @@ def _chunk_rows(words: list[pa.Array], owners: list[np.ndarray], train: np.ndarr
         i, j = first[a], first[b]
         none = pa.nulls(b - a)
         yield pa.RecordBatch.from_arrays([
-            coded.dictionary.slice(a, b - a).cast(pa.binary()), pa.array(held[a:b]), pa.ListArray.from_arrays(at, pa.array(keys[doc[i:j]])),
+            coded.dictionary.slice(a, b - a).cast(pa.binary()), pa.array(held[a:b]), pa.array(np.full(b - a, chunk)),
+            pa.ListArray.from_arrays(at, pa.array(doc[i:j], pa.int32())),
             pa.ListArray.from_arrays(at, pa.array(tf[i:j], pa.int32())), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.bool_()), none.cast(pa.int64()),
         ], names=[c.split(" ")[0] for c in _OCCURS.split(", ")])
 
@@ -54,7 +56,7 @@ def _occurrences(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         key = task.partitionId() << 33
-        words, owners, train, keys, total, docs = [], [], [], [], 0, 0
+        words, owners, train, total, docs = [], [], [], 0, 0
         for whole in batches:
             for batch in arrays.slices(whole, "text"):
                 data, offsets = arrays.text_bytes(batch.column("text"))
@@ -63,9 +65,9 @@ def _occurrences(limit: int):
                 own = np.arange(key, key + batch.num_rows)
                 key += batch.num_rows
                 held = batch.column("held_out").to_numpy(zero_copy_only=False)
-                lists = [pa.nulls(batch.num_rows, pa.list_(t)) for t in (pa.int64(), pa.int32())]
+                lists = [pa.nulls(batch.num_rows, pa.list_(pa.int32()))] * 2
                 yield pa.RecordBatch.from_arrays([
-                    pa.nulls(batch.num_rows, pa.binary()), pa.nulls(batch.num_rows, pa.int64()), *lists, pa.array(own), batch.column("doc_id"),
+                    pa.nulls(batch.num_rows, pa.binary()), *[pa.nulls(batch.num_rows, pa.int64())] * 2, *lists, pa.array(own), batch.column("doc_id"),
                     batch.column("held_out"), arrays.as_long(np.diff(first)),
                 ], names=[c.split(" ")[0] for c in _OCCURS.split(", ")])
                 body = data[~arrays.WHITE[data]]
@@ -73,14 +75,14 @@ def _occurrences(limit: int):
                 np.cumsum(ends - starts, out=ats[1:])
                 words.append(pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ats), pa.py_buffer(body)]))
                 owners.append(arrays.owner(first) + docs)
-                train.append(~held), keys.append(own)
+                train.append(~held)
                 docs += batch.num_rows
                 total += len(starts)
                 if total >= limit:
-                    yield from _chunk_rows(words, owners, np.concatenate(train), np.concatenate(keys))
-                    words, owners, train, keys, total, docs = [], [], [], [], 0, 0
+                    yield from _chunk_rows(words, owners, np.concatenate(train), key - docs)
+                    words, owners, train, total, docs = [], [], [], 0, 0
         if total:
-            yield from _chunk_rows(words, owners, np.concatenate(train), np.concatenate(keys))
+            yield from _chunk_rows(words, owners, np.concatenate(train), key - docs)
 
     return run
 
@@ -209,33 +211,32 @@ def _word_scores(logs: dict[bytes, float]):
     return run
 
 
-def _partial_sums(limit: int):
-    """Per task and row key: known tokens, base sum over counts, lattice sum."""
-    def total(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        key, known, base, model = (np.concatenate(x) for x in zip(*parts))
+def _sums(limit: int):
+    """Known tokens, base sum over counts and lattice sum of every text; all rows of a chunk are in one partition."""
+    def total(parts: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+        key, *values = (np.concatenate(x) for x in zip(*parts))
         own, at = np.unique(key, return_inverse=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(own), *(pa.array(np.bincount(at, x, len(own))) for x in (known, base, model))], names=["key", "known", "base", "model"])
+        return [(own, *(np.bincount(at, x, len(own)) for x in values))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
-            lists = batch.column("keys")
+            lists = batch.column("places")
             each = np.diff(lists.offsets.to_numpy())
             tf = batch.column("tfs").flatten().to_numpy().astype(np.float64)
             count = np.repeat(batch.column("c").to_numpy(), each)
-            parts.append((lists.flatten().to_numpy(), tf * (count > 0), tf * np.log10(count + 0.5), tf * np.repeat(batch.column("logp").to_numpy(), each)))
+            key = lists.flatten().to_numpy() + np.repeat(batch.column("chunk").to_numpy(), each)
+            parts.append((key, tf * (count > 0), tf * np.log10(count + 0.5), tf * np.repeat(batch.column("logp").to_numpy(), each)))
             size += len(tf)
             if size >= limit:
-                yield total(parts)
-                parts, size = [], 0
+                parts, size = total(parts), 0
         if parts:
-            yield total(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in total(parts)[0]], names=["key", "known", "base", "model"])
 
     return run
 
 
-def lm_scores(docs: DataFrame, model_file: str, held_out, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = 3_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, model_file: str, held_out, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = 2_000_000) -> DataFrame:
     """Base and lattice scores of every document; ``held_out`` is a column that marks what must not train.
 
     ``chunk_words`` bounds the words gathered in a task before their rows go out.
@@ -243,7 +244,7 @@ def lm_scores(docs: DataFrame, model_file: str, held_out, id_col: str = "doc_id"
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     rows = stored(slim.mapInArrow(_occurrences(chunk_words), _OCCURS), "occurrences")
     texts = rows.where(F.col("key").isNotNull()).select("key", "doc_id", "held_out", "n_words")
-    occurs = rows.where(F.col("key").isNull()).select("word", "train", "keys", "tfs")
+    occurs = rows.where(F.col("key").isNull()).select("word", "train", "chunk", "places", "tfs")
 
     counts = stored(occurs.groupBy("word").agg(F.sum("train").alias("c")), "words")
     ends = texts.where(~F.col("held_out")).count()
@@ -260,9 +261,8 @@ def lm_scores(docs: DataFrame, model_file: str, held_out, id_col: str = "doc_id"
     logs = {p: math.log(w) - total for p, w in weights.items()}
 
     scored = counts.mapInArrow(_word_scores(logs), "word binary, c long, logp double")
-    parts = occurs.select("word", "keys", "tfs").join(scored, "word").select("keys", "tfs", "c", "logp")
-    sums = parts.mapInArrow(_partial_sums(chunk_words), "key long, known double, base double, model double")
-    sums = sums.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("known", "base", "model")))
+    parts = occurs.drop("train").join(scored, "word").select("chunk", "places", "tfs", "c", "logp").repartition("chunk")
+    sums = parts.mapInArrow(_sums(chunk_words), "key long, known double, base double, model double")
     stop = (ends + 0.5) / (n + 1.0)
     zero = F.lit(0.0)
     return texts.join(sums, "key", "left").select(

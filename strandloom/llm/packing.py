@@ -35,10 +35,11 @@ class WordCoder:
     """Token ids of words, as little-endian 32-bit ids; words seen before come from a bounded cache.
 
     Holds for tokenizers that drop white space and code each word by itself. New words go to the tokenizer many at a
-    time, parted by a special token; ``lowercase`` says that it folds A-Z.
+    time, parted by a special token; ``lowercase`` says that it folds A-Z. The cache has two generations of at most
+    ``keep`` words: when the younger is full it becomes the older, and words in use move on from there.
     """
 
-    def __init__(self, path: str, keep: int = 500_000, lowercase: bool = True):
+    def __init__(self, path: str, keep: int = 600_000, lowercase: bool = True):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,6 +51,7 @@ class WordCoder:
         self.mark = (special[-1]["content"], special[-1]["id"]) if special else None
         self.keep, self.lowercase = keep, lowercase
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _encode(self, words: list[bytes]) -> None:
         plain, odd = [], []
@@ -75,14 +77,22 @@ class WordCoder:
         end = word[len(core):]
         return (core.lower() if self.lowercase and core.isascii() else core), end
 
+    def _recall(self, words: set[bytes]) -> list[bytes]:
+        """Words in neither generation; those in the older one move on."""
+        new = []
+        for w in words.difference(self.known):
+            ids = self.older.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                self.known[w] = ids
+        return new
+
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.keep:
-            self.known.clear()
-            new = list(words)
-        parts = {w: self._core(w) for w in new}
-        missing = {p for pair in parts.values() for p in pair if p and p not in self.known}
-        self._encode(list(missing))
+        if len(self.known) + 2 * len(words) > self.keep:
+            self.older, self.known = self.known, {}
+        parts = {w: self._core(w) for w in self._recall(words)}
+        self._encode(self._recall({p for pair in parts.values() for p in pair if p}))
         for w, (core, end) in parts.items():
             self.known[w] = self.known[core] + (self.known[end] if end else b"")
 

@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.llm.storage import stored
+
 # Fixed patterns of the base rule.
 ASSIGN = (
     r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"""
@@ -106,6 +108,7 @@ def _listed(spans: str, condition: str) -> str:
 def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFrame:
     """``docs`` with the ordered array ``_spans``, null where a text has none; joined on id, text hash and owner."""
     lists = spans.groupBy("_id", "_hash", "_owner").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "copied", "added"))).alias("_spans"))
+    lists = stored(lists, "secret-lists")
     docs = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     same = docs[id_col].eqNullSafe(lists["_id"]) & (docs["_key"] == lists["_hash"]) & docs[owner_col].cast("string").eqNullSafe(lists["_owner"])
     return docs.join(lists, same, "left").drop("_id", "_hash", "_owner", "_key")

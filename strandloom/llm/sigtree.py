@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import arrays
-from strandloom.llm.storage import Tables
+from strandloom.llm.storage import Tables, stored
 from strandloom.operators.components import connected_components
 
 U64 = np.uint64
@@ -339,7 +339,7 @@ def links(docs: DataFrame, n: int = 4, percent: int = 85, hot: int = 4000, bits:
     spread = spread.join(drawn, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     pairs = tables.store(spread.mapInArrow(_trees(percent), "a long, b long").distinct(), "pairs")
     second = tables.store(_compare(pairs, texts, n, percent), "second")
-    tables.drop("rows_unused", "spots", "least", "near", "labelled", "open", "drawn", "pairs")
+    tables.drop("spots", "least", "near", "labelled", "open", "drawn", "pairs")
     groups = connected_components(first.unionByName(second), "a", "b").select(F.col("vertex").alias("id"), "component")
     return members.join(nodes.select("one", "two", F.col("id").alias("rep")), ["one", "two"], "left"), groups
 
@@ -349,3 +349,14 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85, hot: int
     members, groups = links(docs, n, percent, hot, id_col=id_col, text_col=text_col)
     return members.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the least id of each group of linked or equal documents.
+
+    A null id never leaves; of rows with an equal id one stays.
+    """
+    found = similar_components(docs, n, percent, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("_id"), "component_id")
+    gone = stored(found.where("component_id <> _id").select("_id").distinct(), "duplicates")
+    kept = docs.join(gone, docs[id_col].cast("long") == gone["_id"], "left_anti")
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))

@@ -92,6 +92,12 @@ def contaminated(
         F.col("m.equal").alias("equal"), F.col("m.best").alias("best"))
 
 
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds(), id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without those that hold a benchmark item; a null id never leaves."""
+    found = stored(contaminated(docs, benchmark, seeds, id_col).select(F.col(id_col).alias("_id")).distinct(), "contaminated")
+    return docs.join(found, docs[id_col] == found["_id"], "left_anti")
+
+
 def oracle() -> str:
     """DuckDB SQL for :func:`contaminated` with the default seeds."""
     seeds = Seeds()
