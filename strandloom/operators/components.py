@@ -76,5 +76,5 @@ def read_feature_groups(assign: DataFrame) -> DataFrame:
     ).distinct()
     groups = connected_components(sides, "f", "r")
     return groups.filter(F.col("vertex").startswith("f|")).select(
-        F.substring("vertex", 3, 1 << 20).alias("feature"), F.substring("component", 3, 1 << 20).alias("component")
+        F.expr("substring(vertex, 3)").alias("feature"), F.expr("substring(component, 3)").alias("component")
     )

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from strandloom.functions.evidence import scaled_weight
 from strandloom.session import cut_lineage
 
-# A feature row of the state is about 60 bytes; 400k rows stay well under 64 MB.
-BROADCAST_FEATURES = 400_000
-
 
 @dataclass
 class EmCounts:
@@ -77,8 +74,8 @@ def em_counts(
     read weight of about 2.7e43 and therefore vanishes; it is left out.
 
     Per round: a join of the class members with the feature state, a sum within
-    a class (at most one row per feature) and one aggregate by feature. With a
-    state small enough to broadcast only that last aggregate shuffles.
+    a class (at most one row per feature) and one aggregate by feature. Whether the
+    state is broadcast is left to the planner, which knows its size.
     """
     weights = read_weights(scores, scale).persist()
     unique, members = read_classes(weights)
@@ -100,7 +97,6 @@ def em_counts(
     while rounds < max_rounds and not converged:
         rounds += 1
         priors = state.select("feature", "total", "shared")
-        priors = F.broadcast(priors) if k <= BROADCAST_FEATURES else priors
         z = members.join(priors, "feature").withColumn(
             "z", F.col("weight") * F.col("total") * F.col("shared")
         )

@@ -16,6 +16,7 @@ class Mixture:
     means: list
     variances: list
     rounds: int
+    converged: bool = True
 
 
 def _density(x: Column, mean: float, variance: float) -> Column:
@@ -35,8 +36,8 @@ def univariate_mixture(
     n = data.count()
     means, variances, probs = list(map(float, means)), list(map(float, variances)), list(map(float, probs))
     k = len(means)
-    rounds = 0
-    while rounds < max_rounds:
+    rounds, converged = 0, False
+    while rounds < max_rounds and not converged:
         rounds += 1
         parts = [F.lit(probs[i]) * _density(F.col("x"), means[i], variances[i]) for i in range(k)]
         total = sum(parts[1:], parts[0])
@@ -52,10 +53,9 @@ def univariate_mixture(
             abs(a - b) for old, new in ((probs, new_p), (means, new_m), (variances, new_v)) for a, b in zip(old, new)
         )
         probs, means, variances = new_p, new_m, new_v
-        if moved <= tol:
-            break
+        converged = moved <= tol
     data.unpersist()
-    return Mixture(probs, means, variances, rounds)
+    return Mixture(probs, means, variances, rounds, converged)
 
 
 def univariate_labels(df: DataFrame, column: str, fit: Mixture) -> DataFrame:
@@ -92,8 +92,8 @@ def multivariate_mixture(
     covs = [np.asarray(c, float) for c in covariances]
     probs = list(map(float, probs))
     k = len(probs)
-    like, rounds = 0.0, 0
-    while rounds < max_rounds:
+    like, rounds, converged = 0.0, 0, False
+    while rounds < max_rounds and not converged:
         rounds += 1
         forms = [_quadratic(cols, means[i], covs[i]) for i in range(k)]
         parts = [F.lit(probs[i]) * F.exp(-0.5 * q + F.lit(c)) for i, (q, c) in enumerate(forms)]
@@ -120,7 +120,6 @@ def multivariate_mixture(
             new_like += -0.5 * w * (log_norm - 0.5 * float(np.sum(inv * new_covs[i])))
         moved = min([abs(new_like - like)] + [abs(a - b) for a, b in zip(probs, new_probs)])
         probs, means, covs, like = new_probs, new_means, new_covs, new_like
-        if moved <= tol:
-            break
+        converged = moved <= tol
     data.unpersist()
-    return Mixture(probs, [m.tolist() for m in means], [c.tolist() for c in covs], rounds)
+    return Mixture(probs, [m.tolist() for m in means], [c.tolist() for c in covs], rounds, converged)

@@ -12,14 +12,56 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.session import cut_lineage
+
 TILE = "_tile"
 
+# Tiles that share one row of the level above when a scan has no key.
+_FAN = 4096
+
 
 def tile_of(column: str, width: int) -> Column:
     """Tile number of an integer coordinate; it never decreases along the coordinate."""
     return F.floor(F.col(column) / F.lit(width))
 
 
+def _carry(summary: DataFrame, keys: list[str], kinds: dict[str, str], level: int = 0) -> DataFrame:
+    """``_c_name`` of each tile: what the tiles before it add up to (``_t_name`` per tile).
+
+    Without a key there is one row per tile in the whole input, so tiles are summed up twice more, ``_FAN`` to
+    one, before a window sees all that is left.
+    """
+    def over(window: Window) -> list[Column]:
+        before = window.rowsBetween(Window.unboundedPreceding, -1)
+        same = {"sum": F.sum, "count": F.sum, "max": F.max}
+        return [
+            (F.last(f"_t_{name}", ignorenulls=True) if kind == "previous" else same[kind](f"_t_{name}")).over(before).alias(f"_c_{name}")
+            for name, kind in kinds.items()
+        ]
+
+    if keys or level == 2:
+        window = Window.partitionBy(*keys).orderBy(TILE) if keys else Window.orderBy(TILE)
+        return summary.select(*keys, TILE, *over(window))
+    rows = summary.withColumn("_above", F.floor(F.col(TILE) / _FAN))
+    groups = rows.groupBy(F.col("_above").alias(TILE)).agg(*(
+        (F.max_by(f"_t_{name}", TILE) if kind == "previous" else (F.max if kind == "max" else F.sum)(f"_t_{name}")).alias(f"_t_{name}")
+        for name, kind in kinds.items()
+    ))
+    far = _carry(groups, keys, kinds, level + 1).select(F.col(TILE).alias("_above"), *(F.col(f"_c_{n}").alias(f"_f_{n}") for n in kinds))
+    near = rows.select("_above", TILE, *over(Window.partitionBy("_above").orderBy(TILE)))
+    joined = near.join(far, "_above")
+
+    def both(name: str, kind: str) -> Column:
+        own, other = F.col(f"_c_{name}"), F.col(f"_f_{name}")
+        if kind == "max":
+            return F.greatest(own, other)
+        if kind == "previous":
+            return F.coalesce(own, other)
+        return F.coalesce(own + other, own, other)
+
+    return joined.select(TILE, *(both(n, k).alias(f"_c_{n}") for n, k in kinds.items()))
+
+
 def prefix_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -38,34 +80,29 @@ def prefix_scan(
     rows = df.withColumn(TILE, tile)
     inside = Window.partitionBy(*keys, TILE).orderBy(*order)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*keys).orderBy(TILE) if keys else Window.orderBy(TILE)
-    tiles_before = across.rowsBetween(Window.unboundedPreceding, -1)
-
-    totals, carries, locals_, merged = [], [], {}, {}
+    totals, locals_, merged = [], {}, {}
     for name, (kind, column) in outputs.items():
         t, c, v = f"_t_{name}", f"_c_{name}", f"_v_{name}"
         if kind in ("sum", "count"):
             agg = F.sum(column) if kind == "sum" else F.count(column)
             local = (F.sum(column) if kind == "sum" else F.count(column)).over(before)
             totals.append(agg.alias(t))
-            carries.append(F.sum(t).over(tiles_before).alias(c))
             merged[name] = F.coalesce(F.col(v), F.lit(0)) + F.coalesce(F.col(c), F.lit(0))
         elif kind == "max":
             local = F.max(column).over(before)
             totals.append(F.max(column).alias(t))
-            carries.append(F.max(t).over(tiles_before).alias(c))
             merged[name] = F.greatest(F.col(v), F.col(c))
         elif kind == "previous":
             local = F.lag(F.struct(column)).over(inside)
             totals.append(F.max_by(F.struct(column), F.struct(*order)).alias(t))
-            carries.append(F.lag(t).over(across).alias(c))
             merged[name] = F.coalesce(F.col(v), F.col(c))[column]
         else:
             raise ValueError(f"unknown prefix aggregate {kind!r}")
         locals_[v] = local
 
     summary = rows.groupBy(*keys, TILE).agg(*totals)
-    carry = summary.select(*keys, TILE, *carries)
+    kinds = {name: kind for name, (kind, _) in outputs.items()}
+    carry = _carry(summary, keys, kinds)
     scanned = rows.join(carry, [*keys, TILE], "left").withColumns(locals_)
     return scanned.withColumns(merged).select(*df.columns, *outputs)
 
@@ -76,3 +113,19 @@ def numbered(
     """Row number (from 1) within ``keys`` along a total ``order``."""
     counted = prefix_scan(df.withColumn("_one", F.lit(1)), keys, order, tile, {name: ("count", "_one")})
     return counted.withColumn(name, (F.col(name) + 1).cast("long")).drop("_one")
+
+
+def placed(df: DataFrame, order: Sequence[Column | str], name: str = "n") -> DataFrame:
+    """Row number (from 1) along a total ``order`` over the whole input.
+
+    Rows are dealt by range and numbered in their partition; one row per partition carries the offsets.
+    """
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = cut_lineage(sorted_.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).alias("_part")
+    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    # One row per partition of the sort: at most as many as there are tasks.
+    numbered_ = rows.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(offsets), "_part")
+    return numbered_.select(*df.columns, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).alias(name))

@@ -22,11 +22,11 @@ def first_target(rows: DataFrame) -> DataFrame:
 def largest_target(rows: DataFrame) -> DataFrame:
     """``source, target, count``: each source goes to the target of largest overlap.
 
-    Rows without a count are ignored; equal overlaps go to the smallest target.
+    Rows without a count are ignored, an absent overlap counts as 0; equal overlaps go to the smallest target.
     """
     counted = rows.filter(F.coalesce(F.col("count"), F.lit(0)) != 0)
     return counted.groupBy("source").agg(
-        F.min(F.struct((-F.col("overlap")).alias("o"), F.col("target").alias("t")))["t"].alias("target"),
+        F.min(F.struct((-F.coalesce(F.col("overlap"), F.lit(0))).alias("o"), F.col("target").alias("t")))["t"].alias("target"),
         F.max("count").alias("count"),
     )
 

@@ -14,7 +14,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.operators.scan import numbered
+from strandloom.operators.scan import placed
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -27,7 +27,7 @@ ROW_ORDER = [
 ]
 
 VIEWS: dict[str, str] = {
-    # file position of a line; Spark numbers the rows with a tiled scan
+    # file position of a line; Spark numbers the rows by range partition and offset
     "ranked": f"SELECT *, ROW_NUMBER() OVER (ORDER BY {', '.join(ROW_ORDER)}) - 1 AS ord FROM {{lineitem}}",
     "scores": """SELECT CAST(l_suppkey AS STRING) AS feature, CAST(l_orderkey AS STRING) AS read,
         l_quantity AS score FROM {lineitem}""",
@@ -99,8 +99,7 @@ class Inputs:
         if name in TABLES:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         if name == "ranked":
-            tile = F.floor(F.col("l_extendedprice") / 100)
-            return numbered(self["lineitem"], [], ROW_ORDER, tile, "ord").withColumn("ord", F.col("ord") - 1)
+            return placed(self["lineitem"], ROW_ORDER, "ord").withColumn("ord", F.col("ord") - 1)
         return self.sql(SPARK_SPANS if name == "spans" else VIEWS[name])
 
     def sql(self, text: str) -> DataFrame:

@@ -9,7 +9,7 @@ from strandloom.model import STEPS
 from strandloom.operators import (
     annotation, clusters, complete, components, dedupe, evaluate, extract, graphprep, growth, intervals, overlap, transfer,
 )
-from strandloom.operators.scan import prefix_scan, tile_of
+from strandloom.operators.scan import placed, prefix_scan, tile_of
 from strandloom.plans.registry import query
 from strandloom.sources import sinks, text
 
@@ -238,8 +238,8 @@ def colocation_median(t):
 
 @query(
     "j10_full_outer",
-    """WITH a AS (SELECT l_suppkey AS transcript, l_returnflag AS sample, COUNT(*) AS truth FROM {lineitem} WHERE l_quantity > 40 AND l_discount > 0.07 GROUP BY ALL),
-         b AS (SELECT l_suppkey AS transcript, l_returnflag AS sample, SUM(l_linenumber) AS estimate FROM {lineitem} WHERE l_quantity < 10 AND l_tax < 0.01 GROUP BY ALL)
+    """WITH a AS (SELECT l_suppkey AS transcript, l_returnflag AS sample, COUNT(*) AS truth FROM {lineitem} WHERE l_linestatus = 'O' GROUP BY ALL),
+         b AS (SELECT l_suppkey AS transcript, l_returnflag AS sample, SUM(l_linenumber) AS estimate FROM {lineitem} WHERE l_linestatus = 'F' GROUP BY ALL)
        SELECT coalesce(a.transcript, b.transcript) AS transcript, coalesce(a.sample, b.sample) AS sample, coalesce(truth, 0) AS truth, coalesce(estimate, 0) AS estimate
        FROM a FULL JOIN b ON a.transcript = b.transcript AND a.sample = b.sample""",
     longs=("estimate",),
@@ -247,18 +247,18 @@ def colocation_median(t):
 def full_outer(t):
     """P-22: missing counts become zero."""
     li = t["lineitem"].select(F.col("l_suppkey").alias("transcript"), F.col("l_returnflag").alias("sample"), "*")
-    a = li.filter("l_quantity > 40 AND l_discount > 0.07").groupBy("transcript", "sample").agg(F.count(F.lit(1)).alias("truth"))
-    b = li.filter("l_quantity < 10 AND l_tax < 0.01").groupBy("transcript", "sample").agg(F.sum("l_linenumber").alias("estimate"))
+    a = li.filter("l_linestatus = 'O'").groupBy("transcript", "sample").agg(F.count(F.lit(1)).alias("truth"))
+    b = li.filter("l_linestatus = 'F'").groupBy("transcript", "sample").agg(F.sum("l_linenumber").alias("estimate"))
     return evaluate.compare(a, b, ["transcript", "sample"])
 
 
 @query(
     "j11_flank_fetch",
-    """SELECT ord, l_suppkey AS feature, s_name FROM {ranked} JOIN {supplier} ON l_suppkey = s_suppkey WHERE l_linestatus = 'F'""",
+    """SELECT ord, l_suppkey AS feature, s_name FROM {ranked} JOIN {supplier} ON l_suppkey = s_suppkey""",
 )
 def flank_fetch(t):
     """P-13: flank rows carry a composite id whose ordinal names the feature they belong to."""
-    flank = t["ranked"].filter("l_linestatus = 'F'").select(
+    flank = t["ranked"].select(
         "ord", F.concat_ws("|", F.lit("S"), F.lit("x"), "l_suppkey").alias("gene")
     )
     keyed = flank.select("ord", ev.feature_parts(F.col("gene"))["ordinal"].alias("feature"))
@@ -368,13 +368,13 @@ def first_target(t):
 
 @query(
     "a05_largest_target",
-    f"""WITH r AS (SELECT source, target, count, row_number() OVER (PARTITION BY source ORDER BY overlap DESC NULLS LAST, target) AS k FROM ({MOVES}) m WHERE count <> 0 AND overlap IS NOT NULL)
+    f"""WITH r AS (SELECT source, target, count, row_number() OVER (PARTITION BY source ORDER BY coalesce(overlap, 0) DESC, target) AS k FROM ({MOVES}) m WHERE count <> 0)
         SELECT target, SUM(count) AS count, COUNT(*) AS sources FROM r WHERE k = 1 GROUP BY target""",
     longs=("count",),
 )
 def largest_target(t):
     """S-06: the best target by overlap."""
-    return transfer.target_counts(transfer.largest_target(t.sql(MOVES).filter("overlap IS NOT NULL")))
+    return transfer.target_counts(transfer.largest_target(t.sql(MOVES)))
 
 
 ISLANDS = """SELECT *, SUM(CASE WHEN reach IS NULL OR s > reach + {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s, e, rid ROWS UNBOUNDED PRECEDING) AS g FROM (
@@ -602,15 +602,17 @@ def supplier_components(t):
 
 @query(
     "g12_read_feature_groups",
-    """SELECT 3 * CAST(floor(l_orderkey / 3.0) AS BIGINT) * 10 + l_linenumber AS feature, COUNT(DISTINCT l_orderkey) AS n FROM {lineitem} GROUP BY 1""",
+    """WITH RECURSIVE a AS (SELECT DISTINCT 3 * CAST(floor(l_orderkey / 3.0) AS BIGINT) * 10 + l_linenumber AS feature, l_orderkey AS read FROM {lineitem}),
+        e AS (SELECT DISTINCT x.feature AS u, y.feature AS v FROM a x JOIN a y USING (read)),
+        r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
+       SELECT u AS feature, CAST(MIN(CAST(v AS VARCHAR)) AS BIGINT) AS component FROM r GROUP BY u""",
 )
 def read_feature_groups(t):
-    """Features joined by shared reads; groups of a feature are counted through its reads."""
+    """Features joined by shared reads and the least name of their group."""
     rows = t["lineitem"].select(
         (3 * F.floor(F.col("l_orderkey") / 3) * 10 + F.col("l_linenumber")).alias("feature"), F.col("l_orderkey").alias("read")
     )
-    groups = components.read_feature_groups(rows).select(F.col("feature").cast("long").alias("feature"))
-    return groups.join(rows.groupBy("feature").agg(F.count_distinct("read").alias("n")), "feature")
+    return components.read_feature_groups(rows).select(F.col("feature").cast("long").alias("feature"), F.col("component").cast("long").alias("component"))
 
 
 MEMBERS = "SELECT s_nationkey AS seed, s_suppkey AS feature FROM {supplier}"
@@ -747,13 +749,13 @@ def next_read(t):
 
 @query(
     "w11_differences",
-    """WITH a AS (SELECT l_suppkey AS transcript, COUNT(*) AS ecount FROM {lineitem} WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_suppkey AS transcript, COUNT(*) AS ecount FROM {lineitem} WHERE l_returnflag = 'R' GROUP BY 1)
+    """WITH a AS (SELECT l_suppkey AS transcript, COUNT(*) AS ecount FROM {lineitem} WHERE l_linestatus = 'O' GROUP BY 1), b AS (SELECT l_suppkey AS transcript, COUNT(*) AS ecount FROM {lineitem} WHERE l_linestatus = 'F' GROUP BY 1)
        SELECT coalesce(a.transcript, b.transcript) AS transcript, a.ecount AS ecount_x, b.ecount AS ecount_y, a.ecount - b.ecount AS diff FROM a FULL JOIN b ON a.transcript = b.transcript""",
 )
 def differences(t):
     li = t["lineitem"].withColumnRenamed("l_suppkey", "transcript")
-    a = li.filter("l_returnflag = 'A'").groupBy("transcript").agg(F.count(F.lit(1)).alias("ecount"))
-    b = li.filter("l_returnflag = 'R'").groupBy("transcript").agg(F.count(F.lit(1)).alias("ecount"))
+    a = li.filter("l_linestatus = 'O'").groupBy("transcript").agg(F.count(F.lit(1)).alias("ecount"))
+    b = li.filter("l_linestatus = 'F'").groupBy("transcript").agg(F.count(F.lit(1)).alias("ecount"))
     return evaluate.differences(a, b, ["transcript"], "ecount").orderBy(F.desc("diff"))
 
 
@@ -762,24 +764,29 @@ def differences(t):
     "SELECT alignment, n, score FROM {alignments} ORDER BY n, ln, score DESC, alignment LIMIT 500",
 )
 def sorted_head(t):
-    """S-01, S-05: the first rows of a mixed-direction sort."""
+    """S-05: the first rows of a mixed-direction sort."""
     return t["alignments"].orderBy("n", "ln", F.desc("score"), "alignment").limit(500).select("alignment", "n", "score")
 
 
+@query(
+    "s01_sorted",
+    "SELECT alignment, n, score, row_number() OVER (ORDER BY n, ln, score DESC, alignment) AS place FROM {alignments}",
+)
+def sorted_rows(t):
+    """S-01: the place of every row in a mixed-direction sort."""
+    return placed(t["alignments"], ["n", "ln", F.desc("score"), "alignment"], "place").select("alignment", "n", "score", "place")
+
+
 @query(
     "s03_features_by_coverage",
-    """SELECT feature, round(total, 6) AS total, row_number() OVER (ORDER BY round(total, 9) DESC, CAST(substr(feature, 3) AS BIGINT)) AS place FROM (SELECT feature, SUM(1.0 / flen) AS total FROM {assign} WHERE stage = 0 GROUP BY feature) x
-       ORDER BY place LIMIT 20""",
+    """SELECT feature, round(total, 6) AS total, row_number() OVER (ORDER BY round(total, 9) DESC, CAST(substr(feature, 3) AS BIGINT)) AS place FROM (SELECT feature, SUM(1.0 / flen) AS total FROM {assign} WHERE stage = 0 GROUP BY feature) x""",
 )
 def features_by_coverage(t):
     """S-03, S-04: features by total coverage, ties by the number in the id."""
-    from pyspark.sql import Window
-
     total = transfer.feature_coverage(t["assign"], weighted=False).groupBy("feature").agg(F.sum("coverage").alias("total"))
     number = ev.feature_parts(F.col("feature"))["ordinal"]
-    top = total.orderBy(F.desc(F.round("total", 9)), number).limit(20)
-    w = Window.orderBy(F.desc(F.round("total", 9)), number)
-    return top.withColumn("place", F.row_number().over(w).cast("long")).select("feature", F.round("total", 6).alias("total"), "place")
+    rows = total.select("feature", "total", (-F.round("total", 9)).alias("down"), number.alias("number"))
+    return placed(rows, ["down", "number"], "place").select("feature", F.round("total", 6).alias("total"), "place")
 
 
 @query(

@@ -38,12 +38,12 @@ def complete_sample(
 
 
 def overlap_features(
-    keep: DataFrame, feature_ranges: DataFrame, features: DataFrame, strand: str, min_overlap: int = 30, thin: bool = True
+    keep: DataFrame, feature_ranges: DataFrame, features: DataFrame, strand: str, min_overlap: int = 30, thin: bool = False
 ) -> DataFrame:
     """Chunks against features by node range, then by exact bases: adds ``feature, same, code``.
 
     ``feature_ranges``: feature, start0, end in node ids; ``features``: feature, path.
-    ``thin`` lets at most four reads of a run of identical alignments through, in
+    ``thin`` drops rows: it lets at most four reads of a run of identical alignments through, in
     coordinate order.
     """
     rows = keep.withColumn("alignment", F.concat_ws(":", "sample", "pair"))
