@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,37 +54,41 @@ def repeat_elements(bed: DataFrame) -> DataFrame:
     )
 
 
-def _chainer(max_gap: int):
-    """Group function that grows each labelled element over its compatible neighbours.
+def _absorbed(edge: int, near: np.ndarray, far: np.ndarray, fits: np.ndarray, max_gap: int) -> np.ndarray:
+    """Which neighbours an element takes in on one side, given in order of distance.
 
-    It is built inside a function so that it travels to the workers by value.
+    ``near`` and ``far`` are the neighbours' edges as distances grow. The gap before a neighbour runs from the far edge of
+    the last fitting neighbour before it; the first gap that is negative or too wide ends the side.
     """
+    last = np.maximum.accumulate(np.where(fits, np.arange(1, len(fits) + 1), 0))
+    reach = np.concatenate([[edge], far])[np.concatenate([[0], last[:-1]])] if len(fits) else near
+    gap = near - reach
+    open_ = np.logical_and.accumulate((gap >= 0) & (gap <= max_gap))
+    return open_ & fits
+
+
+def _chainer(max_gap: int):
+    """Group function for the elements of one island; built inside a function to travel by value."""
+    absorbed = _absorbed
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("element").to_dict("records")
-        gone = [False] * len(rows)
-        out = []
-        for i, row in enumerate(rows):
-            if gone[i] or row["label"] == "PART":
+        pdf = pdf.sort_values("element", ignore_index=True)
+        start, end = pdf["start"].to_numpy(), pdf["end"].to_numpy()
+        free = np.ones(len(pdf), bool)
+        kept = []
+        for i in np.flatnonzero(pdf["label"] != "PART"):
+            if not free[i]:
                 continue
-            start, end, partners = row["start"], row["end"], list(row["partners"])
-            for j in range(i - 1, -1, -1):
-                if gone[j]:
-                    continue
-                if not 0 <= start - rows[j]["end"] <= max_gap:
-                    break
-                if any(p in rows[j]["name"] for p in partners):
-                    start, gone[j] = rows[j]["start"], True
-            for j in range(i + 1, len(rows)):
-                if gone[j]:
-                    continue
-                if not 0 <= rows[j]["start"] - end <= max_gap:
-                    break
-                if any(p in rows[j]["name"] for p in partners):
-                    end, gone[j] = rows[j]["end"], True
-            gone[i] = True
-            out.append((row["chrom"], start, end, row["name"], row["element"], row["label"], row["strand"]))
-        return pd.DataFrame(out, columns=["chrom", "start", "end", "name", "element", "label", "strand"])
+            fits = pdf["name"].map(lambda name: any(p in name for p in pdf["partners"][i])).to_numpy(bool)  # noqa: B023
+            before, after = np.flatnonzero(free[:i])[::-1], i + 1 + np.flatnonzero(free[i + 1:])
+            left = before[absorbed(-start[i], -end[before], -start[before], fits[before], max_gap)]
+            right = after[absorbed(end[i], start[after], end[after], fits[after], max_gap)]
+            free[i] = free[left] = free[right] = False
+            low = start[left[-1]] if len(left) else start[i]
+            kept.append((i, low, end[right[-1]] if len(right) else end[i]))
+        rows, low, high = (np.array(x, np.int64) for x in (zip(*kept) if kept else ((), (), ())))
+        out = pdf.iloc[rows].assign(start=low, end=high)
+        return out[["chrom", "start", "end", "name", "element", "label", "strand"]]
 
     return chain
 
