@@ -66,13 +66,13 @@ VIEWS: dict[str, str] = {
     # intervals in days on the calendar of a supplier
     "spans": """SELECT l_suppkey AS chrom, datediff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS s,
         datediff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS BIGINT) AS e, ord AS rid FROM {ranked}""",
-    # a supplier sits on three haplotypes
+    # a supplier sits on three haplotypes, eight suppliers to a stretch of 30000, so density does not grow with the table
     "supplier_spans": """SELECT 'S|' || CAST(s_suppkey AS STRING) AS feature, hap, start + shift AS start,
         start + shift + 300 + s_suppkey % 97 * 10 AS stop, dir FROM (
-          SELECT s_suppkey, CAST(FLOOR(s_acctbal * 4) AS BIGINT) + 10000 AS start, CASE WHEN s_nationkey % 2 = 0 THEN 1 ELSE -1 END AS dir,
+          SELECT s_suppkey, CAST(FLOOR(s_suppkey / 8.0) AS BIGINT) * 30000 + CAST(FLOOR(abs(s_acctbal) * 4) AS BIGINT) % 6000 + 10000 AS start, CASE WHEN s_nationkey % 2 = 0 THEN 1 ELSE -1 END AS dir,
             'h1' AS hap, 0 AS shift FROM {supplier}
-          UNION ALL SELECT s_suppkey, CAST(FLOOR(s_acctbal * 4) AS BIGINT) + 10000, 1, 'h2', s_suppkey % 7 * 100 FROM {supplier}
-          UNION ALL SELECT s_suppkey, CAST(FLOOR(s_acctbal * 2) AS BIGINT) + 10000, -1, 'h3', s_suppkey % 5 * 50 FROM {supplier}) x""",
+          UNION ALL SELECT s_suppkey, CAST(FLOOR(s_suppkey / 8.0) AS BIGINT) * 30000 + CAST(FLOOR(abs(s_acctbal) * 4) AS BIGINT) % 6000 + 10000, 1, 'h2', s_suppkey % 7 * 100 FROM {supplier}
+          UNION ALL SELECT s_suppkey, CAST(FLOOR(s_suppkey / 8.0) AS BIGINT) * 30000 + CAST(FLOOR(abs(s_acctbal) * 2) AS BIGINT) % 6000 + 10000, -1, 'h3', s_suppkey % 5 * 50 FROM {supplier}) x""",
 }
 # The date difference is spelled differently by the two engines.
 SPARK_SPANS = VIEWS["spans"].replace(
