@@ -16,6 +16,7 @@ import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -47,35 +48,57 @@ class WordCoder:
 
         self.coder = Tokenizer.from_file(path)
         with open(path) as f:
-            special = [t for t in json.load(f).get("added_tokens", []) if t.get("special")]
+            spec = json.load(f)
+        special = [t for t in spec.get("added_tokens", []) if t.get("special")]
+        self.plain = None
+        end = spec["model"].get("end_of_word_suffix")
+        if end and r"[\\p{L}]+" in json.dumps(spec["pre_tokenizer"]):
+            # Letters alone are one run for the pattern: they need neither it nor the normaliser, and end with a marked piece.
+            byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+            spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}}
+            self.plain = Tokenizer.from_str(json.dumps(spec))
+            self.ends = np.zeros(self.coder.get_vocab_size(), bool)
+            self.ends[[i for piece, i in spec["model"]["vocab"].items() if piece.endswith(end)]] = True
         self.mark = (special[-1]["content"], special[-1]["id"]) if special else None
         self.keep, self.lowercase = keep, lowercase
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     def _encode(self, words: list[bytes]) -> None:
-        plain, odd = [], []
+        letters, plain, odd = [], [], []
         for w in words:
-            (odd if self.mark is None or b"<" in w else plain).append(w)
-        groups = [plain[i: i + 256] for i in range(0, len(plain), 256)]
-        joined = [self.mark[0].join(w.decode() for w in g) for g in groups] if plain else []
+            if self.plain is not None and (text := w.decode()).isalpha() and text.islower() and (w.isascii() or text.lower() == text and is_normalized("NFC", text)):
+                letters.append(text)
+            else:
+                (odd if self.mark is None or b"<" in w else plain).append(w)
+        for i in range(0, len(letters), 512):
+            group = letters[i: i + 512]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<u4")
+            raw, cuts = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(cuts) != len(group):
+                plain += [text.encode() for text in group]
+                continue
+            for text, a, b in zip(group, [0, *cuts], cuts):
+                self.known[text.encode()] = raw[a:b]
+        groups = [plain[i: i + 512] for i in range(0, len(plain), 512)]
+        joined = [self.mark[0].encode().join(g).decode() for g in groups] if plain else []
         for group, coded in zip(groups, self.coder.encode_batch_fast(joined, add_special_tokens=False) if joined else []):
             ids = np.array(coded.ids, "<u4")
             cuts = np.flatnonzero(ids == self.mark[1])
-            first = np.concatenate([[0], cuts + 1])
-            last = np.concatenate([cuts, [len(ids)]])
-            for w, a, b in zip(group, first.tolist(), last.tolist()):
-                self.known[w] = ids[a:b].tobytes()
+            raw = ids.tobytes()
+            first = [0, *(4 * cuts + 4).tolist()]
+            last = [*(4 * cuts).tolist(), len(raw)]
+            for w, a, b in zip(group, first, last):
+                self.known[w] = raw[a:b]
         for w in odd:
             self.known[w] = np.array(self.coder.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def _core(self, word: bytes) -> tuple[bytes, bytes]:
         """A word as core and closing punctuation where these are coded apart."""
         core = word.rstrip(_PUNCT)
-        if not core or core[-1] not in _ALNUM:
+        if len(core) < len(word) and (not core or core[-1] not in _ALNUM):
             core = word
-        end = word[len(core):]
-        return (core.lower() if self.lowercase and core.isascii() else core), end
+        return (core.lower() if self.lowercase and core.isascii() else core), word[len(core):]
 
     def _recall(self, words: set[bytes]) -> list[bytes]:
         """Words in neither generation; those in the older one move on."""
@@ -117,7 +140,7 @@ def _pieces(tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: s
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 out: tuple[list, ...] = ([], [], [], [], [])
-                texts = [(t or "").encode() for t in batch.column(text_col).to_pylist()]
+                texts = batch.column(text_col).cast(pa.binary()).fill_null(b"").to_pylist()
                 for doc, ids in zip(batch.column(id_col).to_pylist(), coder.ids(texts)):
                     ids += end
                     for k, start in enumerate(range(0, len(ids), 4 * capacity)):
