@@ -25,7 +25,8 @@ def _plain(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 6) + 0.0
     if isinstance(v, int):
-        return float(v)
+        # One side may have a wider or a decimal type; beyond 2^53 a float would hide differences.
+        return float(v) if abs(v) < 1 << 53 else v
     if isinstance(v, (list, tuple)):
         return tuple(_plain(x) for x in v)
     if isinstance(v, (datetime.date, datetime.datetime)):
