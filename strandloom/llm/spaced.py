@@ -75,12 +75,15 @@ def contaminated(
     laid = hits.join(F.broadcast(items.distinct()) if bounded else items.distinct(), (hits["_item"].eqNullSafe(items["_item"])) & (hits["_key"] == items["_key"]))
     laid = laid.select(hits["_id"].alias("_doc"), "_hash", hits["_item"], "diagonal", F.col("tokens").alias("item"))
     texts = texts.withColumn("_own", F.xxhash64("_text"))
-    pairs = texts.join(laid, texts["_id"].eqNullSafe(laid["_doc"]) & (texts["_own"] == laid["_hash"])).withColumn("tokens", _tokens(F.col("_text")))
+    pairs = texts.join(laid, texts["_id"].eqNullSafe(laid["_doc"]) & (texts["_own"] == laid["_hash"]))
+    # Exploding an array of one keeps Spark from copying the expression into every place that uses it.
+    pairs = pairs.select("_id", "_item", "diagonal", "item", F.explode(F.array(_tokens(F.col("_text")))).alias("tokens"))
     start = F.greatest(F.col("diagonal"), F.lit(0))
     size = F.least(F.size("tokens") - start, F.size("item") - (start - F.col("diagonal")))
     pairs = pairs.withColumn("_start", start).withColumn("_size", size)
-    pairs = pairs.withColumn("same", F.zip_with(
-        F.slice("tokens", F.col("_start") + 1, F.col("_size")), F.slice("item", F.col("_start") - F.col("diagonal") + 1, F.col("_size")), lambda a, b: (a == b).cast("int")))
+    same = F.zip_with(
+        F.slice("tokens", F.col("_start") + 1, F.col("_size")), F.slice("item", F.col("_start") - F.col("diagonal") + 1, F.col("_size")), lambda a, b: (a == b).cast("int"))
+    pairs = pairs.select("_id", "_item", "diagonal", "item", "_size", F.explode(F.array(same)).alias("same"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     width = F.least(F.size("item"), F.lit(seeds.verify))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("_size") - width + 1), lambda i: total(F.slice("same", i, width))))
