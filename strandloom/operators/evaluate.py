@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.evidence import fixed_bin
+from strandloom.operators.scan import quantiles
 
 
 def compare(truth: DataFrame, estimate: DataFrame, keys: list[str], how: str = "full", fill: bool = True) -> DataFrame:
@@ -32,11 +33,9 @@ def pearson(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataF
 
 def box_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Box-plot numbers per group: minimum, quartiles, maximum and size."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*by).agg(
-        F.min(value).alias("low"), q[0].alias("q1"), q[1].alias("q2"), q[2].alias("q3"),
-        F.max(value).alias("high"), F.count(value).alias("n"),
-    )
+    ends = df.groupBy(F.struct(*by).alias("_key")).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"))
+    quarters = quantiles(df, by, value, {"q1": 0.25, "q2": 0.5, "q3": 0.75}).withColumn("_key", F.struct(*by)).drop(*by)
+    return ends.join(quarters, "_key").select(*(F.col(f"_key.{k}").alias(k) for k in by), "low", "q1", "q2", "q3", "high", "n")
 
 
 def binned_box_stats(df: DataFrame, truth: str, estimate: str, width: float) -> DataFrame:

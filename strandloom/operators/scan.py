@@ -129,3 +129,32 @@ def placed(df: DataFrame, order: Sequence[Column | str], name: str = "n") -> Dat
     # One row per partition of the sort: at most as many as there are tasks.
     numbered_ = rows.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(offsets), "_part")
     return numbered_.select(*df.columns, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).alias(name))
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float | None], tile_rows: int = 4096) -> DataFrame:
+    """Quantiles of ``value`` per key by rank; no key's values gather in one buffer.
+
+    ``wanted`` maps a column to a fraction (interpolated between neighbours) or to None, the element ``n div 2`` of the
+    sorted values. Equal values are counted first; their running counts come from a scan over tiles of ``tile_rows``.
+    A key without values has NULLs.
+    """
+    # A struct of the keys is never NULL itself, so a NULL key is a group like any other.
+    rows = df.select(F.struct(*keys).alias("_key"), F.col(value).alias("_value"))
+    counted = placed(rows.where(F.col("_value").isNotNull()).groupBy("_key", "_value").agg(F.count(F.lit(1)).alias("_size")), ["_key", "_value"], "_place")
+    running = prefix_scan(counted, ["_key"], ["_place"], F.floor(F.col("_place") / tile_rows), {"_before": ("sum", "_size")})
+    sizes = rows.groupBy("_key").agg(F.count("_value").alias("_n"))
+    at = running.join(sizes, "_key")
+
+    def element(rank: Column) -> Column:
+        return F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_size")), F.col("_value")))
+
+    columns = []
+    for name, fraction in wanted.items():
+        if fraction is None:
+            columns.append(element(F.floor(F.col("_n") / 2)).alias(name))
+            continue
+        exact = F.lit(float(fraction)) * (F.col("_n") - 1)
+        low, high = element(F.floor(exact)), element(F.ceil(exact))
+        columns.append((low + F.max(exact - F.floor(exact)) * (high - low)).alias(name))
+    found = at.groupBy("_key").agg(*columns)
+    return sizes.join(found, "_key", "left").select(*(F.col(f"_key.{k}").alias(k) for k in keys), *wanted)

@@ -9,7 +9,7 @@ from strandloom.model import STEPS
 from strandloom.operators import (
     annotation, clusters, complete, components, dedupe, evaluate, extract, graphprep, growth, intervals, overlap, transfer,
 )
-from strandloom.operators.scan import placed, prefix_scan, tile_of
+from strandloom.operators.scan import placed, prefix_scan, quantiles, tile_of
 from strandloom.plans.registry import query
 from strandloom.sources import sinks, text
 
@@ -448,9 +448,7 @@ def depth_cap(t):
     """SELECT l_suppkey, median(l_extendedprice) AS mid, list_sort(list(l_extendedprice))[len(list(l_extendedprice)) // 2 + 1] AS upper_mid FROM {lineitem} GROUP BY l_suppkey""",
 )
 def medians(t):
-    return t["lineitem"].groupBy("l_suppkey").agg(
-        F.median("l_extendedprice").alias("mid"), clusters.upper_median("l_extendedprice").alias("upper_mid")
-    )
+    return quantiles(t["lineitem"], ["l_suppkey"], "l_extendedprice", {"mid": 0.5, "upper_mid": None})
 
 
 @query(

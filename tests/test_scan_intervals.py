@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.operators import intervals as iv
+from strandloom.operators import scan
 from strandloom.operators.scan import numbered, prefix_scan, tile_of
 
 
@@ -119,3 +120,26 @@ def test_breaks_and_ranges(spark):
     ids = spark.createDataFrame([(1, 5), (1, 14), (1, 24), (1, 5)], "k long, v long")
     got = sorted((r.range_start, r.range_end) for r in iv.id_ranges(ids, ["k"], "v", 10).collect())
     assert got == [(4, 14), (23, 24)]
+
+
+def test_quantiles_by_rank(spark):
+    import statistics
+
+    r = random.Random(4)
+    rows = [(k, r.choice([None, *range(9)])) for k in ["a"] * 500 + ["b"] * 7 + [None] * 4] + [("one", 5), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    got = {x.k: (x.q1, x.mid, x.up) for x in scan.quantiles(df, ["k"], "v", {"q1": 0.25, "mid": 0.5, "up": None}, tile_rows=3).collect()}
+    for key in {k for k, _ in rows}:
+        values = sorted(v for k, v in rows if k == key and v is not None)
+        if not values:
+            assert got[key] == (None, None, None)
+            continue
+        q1 = statistics.quantiles(values, n=4, method="inclusive")[0] if len(values) > 1 else values[0]
+        assert got[key] == (pytest.approx(q1), pytest.approx(statistics.median(values)), values[len(values) // 2])
+
+
+def test_places_over_the_whole_input(spark):
+    df = spark.range(0, 1000, 1, 7).selectExpr("id", "id % 10 AS g")
+    rows = sorted(scan.placed(df, ["g", "id"], "n").collect(), key=lambda x: x.n)
+    assert [x.n for x in rows] == list(range(1, 1001)) and [(x.g, x.id) for x in rows] == sorted((x.g, x.id) for x in rows)
+    assert scan.placed(df.limit(0), ["g", "id"], "n").count() == 0
