@@ -124,9 +124,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     carry: pa.Table | None = None
     known: int | None = None
-    schema = None
     for batch in batches:
-        schema = batch.schema
         table = pa.Table.from_batches([batch])
         if carry is not None:
             table = pa.concat_tables([carry, table]).combine_chunks()
