@@ -328,7 +328,10 @@ def links(docs: DataFrame, n: int = 4, percent: int = 85, hot: int = 4000, bits:
 
     labelled = spots.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("label"))
     labelled = tables.store(labelled, "labelled")
-    open_ = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
+    # Of n-grams that hold the very same nodes one is enough.
+    same = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"same{k}") for k in range(2)]
+    open_ = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), *same).where("low <> high")
+    open_ = open_.groupBy("size", "same0", "same1").agg(F.min("key").alias("key")).select("key", "size")
     labelled = tables.store(labelled.join(open_, "key"), "open")
     drawn = tables.store(texts.join(labelled.select("id").distinct(), "id").select("id", "text").mapInArrow(_bitmaps(n, bits), "id long, bits binary"), "drawn")
     # Blocks of a hot n-gram: a node goes with each block, once; i and j are the two blocks, block tells the node's side.
