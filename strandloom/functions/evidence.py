@@ -112,10 +112,6 @@ def fixed_bin(value: Column, width: float) -> Column:
     return F.when(value > 0, F.ceil(value / width).cast("long"))
 
 
-def log2_or_null(value: Column) -> Column:
-    return F.log2(value)
-
-
 def gtf_attribute(attributes: Column, name: str = "gene_id") -> Column:
     return F.nullif(F.regexp_extract(attributes, name + r' "(.+?)";', 1), F.lit(""))
 

@@ -796,6 +796,16 @@ def distinct_first(t):
     return rows.groupBy("l_suppkey", "l_partkey").agg(F.min("ord").alias("ord"))
 
 
+@query(
+    "u06_later_value_wins",
+    """SELECT l_suppkey, hap, arg_max(node, ord) AS node FROM (SELECT l_suppkey, l_returnflag || l_linestatus AS hap, l_partkey AS node, ord FROM {ranked}) x GROUP BY l_suppkey, hap""",
+)
+def later_value_wins(t):
+    """U-06: maps of haplotype to node merged per feature; of values for one haplotype the later stays."""
+    rows = t["ranked"].select("l_suppkey", F.concat("l_returnflag", "l_linestatus").alias("hap"), F.col("l_partkey").alias("node"), "ord")
+    return text.latest_by_key(rows, ["l_suppkey", "hap"], "ord").select("l_suppkey", "hap", "node")
+
+
 @query(
     "u03_shared_haplotypes",
     """SELECT alignment, greatest(0, 3 - abs(ln - 3)) AS shared, ln BETWEEN 1 AND 5 AS touch FROM {alignments}""",

@@ -114,16 +114,10 @@ def sam_clean(t):
        FROM {lineitem} GROUP BY l_returnflag, l_linestatus, l_suppkey HAVING SUM(l_quantity) > 0""",
 )
 def tagged_union(t):
-    """Per-batch tables labelled with their sample and stacked."""
-    out = None
-    li = t["lineitem"]
-    for flag in ("A", "N", "R"):
-        for status in ("F", "O"):
-            one = li.filter((F.col("l_returnflag") == flag) & (F.col("l_linestatus") == status))
-            one = one.groupBy(F.col("l_suppkey").cast("string").alias("transcript")).agg(F.sum("l_quantity").alias("ecount"))
-            one = one.filter("ecount > 0").withColumn("sample", F.lit(f"Batch{flag}.{status}"))
-            out = one if out is None else out.unionByName(one)
-    return out.select("sample", "transcript", "ecount")
+    """Per-batch counts labelled with their sample, in one aggregate."""
+    sample = F.concat(F.lit("Batch"), "l_returnflag", F.lit("."), "l_linestatus").alias("sample")
+    transcript = F.col("l_suppkey").cast("string").alias("transcript")
+    return t["lineitem"].groupBy(sample, transcript).agg(F.sum("l_quantity").alias("ecount")).filter("ecount > 0")
 
 
 @query(
