@@ -27,8 +27,8 @@ from strandloom.llm import arrays
 from strandloom.llm.storage import stored
 
 START = "▁".encode()
-# A row is a word of a chunk (its texts as places in the chunk), or a text (key is its chunk plus its place).
-_OCCURS = "word binary, train long, chunk long, places array<int>, tfs array<int>, key long, doc_id long, held_out boolean, n_words long"
+# A row is a word of a chunk (its texts as places in the chunk, one for each time), or a text (key is its chunk plus its place).
+_OCCURS = "word binary, train long, chunk long, places array<int>, key long, doc_id long, held_out boolean, n_words long"
 
 
 def _chunk_rows(words: list[pa.Array], owners: list[np.ndarray], train: np.ndarray, chunk: int) -> Iterator[pa.RecordBatch]:
@@ -39,16 +39,16 @@ def _chunk_rows(words: list[pa.Array], owners: list[np.ndarray], train: np.ndarr
     code, doc = pair // n, pair % n
     first = np.searchsorted(code, np.arange(len(coded.dictionary) + 1))
     held = np.bincount(code, tf * train[doc], len(coded.dictionary)).astype(np.int64)
+    times = np.concatenate([[0], np.cumsum(tf)])
     step = 20_000
     for a in range(0, len(coded.dictionary), step):
         b = min(a + step, len(coded.dictionary))
-        at = pa.array(first[a: b + 1] - first[a], pa.int32())
+        at = pa.array(times[first[a: b + 1]] - times[first[a]], pa.int32())
         i, j = first[a], first[b]
         none = pa.nulls(b - a)
         yield pa.RecordBatch.from_arrays([
             coded.dictionary.slice(a, b - a).cast(pa.binary()), pa.array(held[a:b]), pa.array(np.full(b - a, chunk)),
-            pa.ListArray.from_arrays(at, pa.array(doc[i:j], pa.int32())),
-            pa.ListArray.from_arrays(at, pa.array(tf[i:j], pa.int32())), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.bool_()), none.cast(pa.int64()),
+            pa.ListArray.from_arrays(at, pa.array(np.repeat(doc[i:j], tf[i:j]), pa.int32())), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.bool_()), none.cast(pa.int64()),
         ], names=[c.split(" ")[0] for c in _OCCURS.split(", ")])
 
 
@@ -65,9 +65,9 @@ def _occurrences(limit: int):
                 own = np.arange(key, key + batch.num_rows)
                 key += batch.num_rows
                 held = batch.column("held_out").to_numpy(zero_copy_only=False)
-                lists = [pa.nulls(batch.num_rows, pa.list_(pa.int32()))] * 2
+                none = pa.nulls(batch.num_rows, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([
-                    pa.nulls(batch.num_rows, pa.binary()), *[pa.nulls(batch.num_rows, pa.int64())] * 2, *lists, pa.array(own), batch.column("doc_id"),
+                    pa.nulls(batch.num_rows, pa.binary()), *[pa.nulls(batch.num_rows, pa.int64())] * 2, none, pa.array(own), batch.column("doc_id"),
                     batch.column("held_out"), arrays.as_long(np.diff(first)),
                 ], names=[c.split(" ")[0] for c in _OCCURS.split(", ")])
                 body = data[~arrays.WHITE[data]]
@@ -223,11 +223,11 @@ def _sums(limit: int):
         for batch in batches:
             lists = batch.column("places")
             each = np.diff(lists.offsets.to_numpy())
-            tf = batch.column("tfs").flatten().to_numpy().astype(np.float64)
-            count = np.repeat(batch.column("c").to_numpy(), each)
+            count = batch.column("c").to_numpy()
             key = lists.flatten().to_numpy() + np.repeat(batch.column("chunk").to_numpy(), each)
-            parts.append((key, tf * (count > 0), tf * np.log10(count + 0.5), tf * np.repeat(batch.column("logp").to_numpy(), each)))
-            size += len(tf)
+            values = (count > 0).astype(float), np.log10(count + 0.5), batch.column("logp").to_numpy()
+            parts.append((key, *(np.repeat(v, each) for v in values)))
+            size += len(key)
             if size >= limit:
                 parts, size = total(parts), 0
         if parts:
@@ -244,7 +244,7 @@ def lm_scores(docs: DataFrame, model_file: str, held_out, id_col: str = "doc_id"
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     rows = stored(slim.mapInArrow(_occurrences(chunk_words), _OCCURS), "occurrences")
     texts = rows.where(F.col("key").isNotNull()).select("key", "doc_id", "held_out", "n_words")
-    occurs = rows.where(F.col("key").isNull()).select("word", "train", "chunk", "places", "tfs")
+    occurs = rows.where(F.col("key").isNull()).select("word", "train", "chunk", "places")
 
     counts = stored(occurs.groupBy("word").agg(F.sum("train").alias("c")), "words")
     ends = texts.where(~F.col("held_out")).count()
@@ -261,7 +261,7 @@ def lm_scores(docs: DataFrame, model_file: str, held_out, id_col: str = "doc_id"
     logs = {p: math.log(w) - total for p, w in weights.items()}
 
     scored = counts.mapInArrow(_word_scores(logs), "word binary, c long, logp double")
-    parts = occurs.drop("train").join(scored, "word").select("chunk", "places", "tfs", "c", "logp").repartition("chunk")
+    parts = occurs.drop("train").join(scored, "word").select("chunk", "places", "c", "logp").repartition("chunk")
     sums = parts.mapInArrow(_sums(chunk_words), "key long, known double, base double, model double")
     stop = (ends + 0.5) / (n + 1.0)
     zero = F.lit(0.0)
