@@ -1,6 +1,8 @@
 """Per-text operators against plain Python."""
 
+import base64
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -8,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from llm_helpers import ascii_words
+from llm_helpers import ascii_words, prose
 from strandloom.llm import arrays, bands, fm, lattice, longest_match, packing, queries
 
 
@@ -61,6 +63,27 @@ def test_bands_reject_noise(spark):
     assert bands.compression_bands(spark.createDataFrame([(1, noise)], "doc_id long, text string")).first().verdict.startswith("incompressible")
 
 
+def test_bands_reject_noise_within_long_prose(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(4):
+        text = prose(rng, 4000)[:12_000 + 700 * i]
+        blob = base64.b64encode(rng.randbytes(3000)).decode()
+        at = 4000 + 513 * i
+        rows += [(10 * i, text), (10 * i + 1, text[:at] + blob[:2048] + text[at:]), (10 * i + 2, text + blob[:2040])]
+        rows += [(10 * i + 3, text[:at] + "ab" * 2800 + text[at:])]
+    found = {r.doc_id: r.verdict for r in bands.compression_bands(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = ["kept", "incompressible chunk", "incompressible chunk", "repetitive chunks"]
+    assert found == {10 * i + k: v for i in range(4) for k, v in enumerate(want)}
+
+
+def test_chunks_cover_every_byte():
+    for size in (1, 2047, 2048, 2049, 3071, 3072, 3073, 4096, 10_001):
+        starts = bands.chunk_starts(size, 2048)
+        assert (starts == []) == (size < 2048)
+        assert not starts or starts[0] == 0 and starts[-1] == size - 2048 and all(0 < b - a <= 1024 for a, b in zip(starts, starts[1:]))
+
+
 def test_bands_query_matches_brute_force(spark, folder):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     for r in queries.QUERIES["op2_quality_rules"](spark, folder).collect():
