@@ -5,11 +5,15 @@ windows of all documents and of all benchmark items are hashed under every mask
 the document at the same diagonal, and tokens are compared one by one: a pair stands if some window of
 ``verify`` aligned tokens (or the whole item, if shorter) agrees in at least ``identity`` of them.
 
+With the default settings no pair that passes this comparison is without a hit: the masks for each length of an item leave
+free every choice of tokens that may differ (12 tokens or more share four masks, shorter items have their own, those of at
+most four tokens must be equal and are hashed whole). Masks of short items are only used if such items are there.
+
 Rows of documents are exploded and probed in one pass when the benchmark's hashes fit the broadcast bound, which is
 checked by counting them; beyond it both sides are exchanged by hash. Texts are only exchanged to verify, once.
 
-Defined cases: null and empty texts have no tokens and no hit; windows are cut at the text's end, so a text or item with fewer
-tokens than a mask spans has no hit; equal documents and equal items each give their own row; an empty table
+Defined cases: null and empty texts have no tokens and no hit; windows are cut at the text's end, so a text with fewer
+tokens than an item of up to ``verify`` tokens does not hold it; equal documents and equal items each give their own row; an empty table
 gives no rows; extra columns are ignored.
 """
 
@@ -27,14 +31,23 @@ from strandloom.llm.storage import stored
 class Seeds:
     #: Fixed masks: offsets of the tokens that are hashed.
     masks: tuple[tuple[int, ...], ...] = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 7, 8), (0, 2, 3, 6, 7, 9))
+    #: With this one, every way to replace two of 12 or 13 tokens leaves some mask whole.
+    fourth: tuple[int, ...] = (0, 1, 2, 4, 6, 7)
+    #: Masks for items of 1, 2, ... 11 tokens.
+    short: tuple[tuple[tuple[int, ...], ...], ...] = (
+        ((0,),), ((0, 1),), ((0, 1, 2),), ((0, 1, 2, 3),), ((0, 1, 2), (0, 1, 3)), ((0, 1, 2, 3), (0, 1, 3, 4)),
+        ((0, 1, 2, 3, 4), (0, 1, 2, 3, 5), (0, 1, 3, 4, 5)), ((0, 1, 2, 3, 4, 5), (0, 1, 2, 3, 5, 6), (0, 1, 3, 4, 5, 6)),
+        ((0, 1, 2, 3, 4, 5), (0, 1, 2, 4, 5, 6)), ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 6, 7)), ((0, 1, 2, 3, 5), (0, 1, 4, 7, 8)),
+    )
     verify: int = 13
     identity: float = 0.8
     #: Seeds of the benchmark up to which they are broadcast (about 40 bytes each).
     broadcast_seeds: int = 500_000
 
-    @property
-    def span(self) -> int:
-        return 1 + max(max(m) for m in self.masks)
+    def by_length(self) -> list[tuple[int, tuple[int, ...]]]:
+        """Every mask with the length of the items that it is for; ``len(short) + 1`` stands for all longer ones."""
+        long = [*self.masks, self.fourth]
+        return [(n, m) for n, masks in enumerate([*self.short, long], 1) for m in masks]
 
 
 def _tokens(text) -> object:
@@ -42,18 +55,22 @@ def _tokens(text) -> object:
     return F.when(trimmed == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
-def _seeds(rows: DataFrame, keep: list[str], seeds: Seeds) -> DataFrame:
-    """One row per window and mask: ``keep`` columns, ``at``, ``mask`` and ``seed``. ``rows`` has ``tokens``.
+def _seeds(rows: DataFrame, keep: list[str], masks: list[tuple[int, tuple[int, ...]]], length: str | None = None) -> DataFrame:
+    """One row per window and mask: ``keep`` columns, ``at`` and ``seed``. ``rows`` has ``tokens``.
 
     Shifted copies of the hashed tokens are zipped, so a window is one flat row and its hashes are compiled code; cells
-    past the end are null, and a mask that would pick one gives no row.
+    past the end are null, and a mask that would pick one gives no row. With ``length``, a column of ``keep``, only the masks for
+    that length are used.
     """
     hashed = rows.select(*keep, F.transform("tokens", lambda t: F.xxhash64(t)).alias("h"))
-    used = sorted({o for m in seeds.masks for o in m})
+    used = sorted({o for _, m in masks for o in m})
     shifted = [F.slice("h", F.lit(o + 1), F.size("h")).alias(f"t{o}") if o else F.col("h").alias("t0") for o in used]
     windows = hashed.select(*keep, F.posexplode(F.arrays_zip(*shifted)).alias("at", "w")).select(*keep, "at", *(F.col(f"w.t{o}").alias(f"t{o}") for o in used))
-    each = [F.struct(F.lit(i).alias("mask"), F.when(F.col(f"t{m[-1]}").isNotNull(), F.xxhash64(F.lit(i), *(F.col(f"t{o}") for o in m))).alias("seed")) for i, m in enumerate(seeds.masks)]
-    return windows.select(*keep, "at", F.explode(F.array(*each)).alias("s")).select(*keep, "at", F.col("s.seed").alias("seed")).where(F.col("seed").isNotNull())
+    each = []
+    for i, (n, m) in enumerate(masks):
+        there = F.col(f"t{m[-1]}").isNotNull()
+        each.append(F.when(there & (F.col(length) == n) if length else there, F.xxhash64(F.lit(i), *(F.col(f"t{o}") for o in m))))
+    return windows.select(*keep, "at", F.explode(F.array(*each)).alias("seed")).where(F.col("seed").isNotNull())
 
 
 def contaminated(
@@ -65,12 +82,20 @@ def contaminated(
     """
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     items = stored(benchmark.select(F.col(item_col).alias("_item"), _tokens(F.col(item_text)).alias("tokens")).select("_item", "tokens", F.xxhash64("tokens").alias("_key")), "items")
-    small = _seeds(items, ["_item", "_key"], seeds)
+    sized = items.withColumn("_n", F.least(F.size("tokens"), F.lit(len(seeds.short) + 1)))
+    there = {r[0] for r in sized.select("_n").distinct().collect()}
+    # Without any token in the benchmark one mask stands for all; it finds nothing.
+    masks = [(n, m) for n, m in seeds.by_length() if n in there] or seeds.by_length()[:1]
+    small = _seeds(sized, ["_item", "_key", "_n"], masks, "_n")
     bounded = small.count() <= seeds.broadcast_seeds
-    small = small.groupBy("seed").agg(F.collect_list(F.struct("_item", "_key", "at")).alias("places"))
-    windows = _seeds(texts.select("_id", F.xxhash64("_text").alias("_hash"), _tokens(F.col("_text")).alias("tokens")), ["_id", "_hash"], seeds)
+    # Every place of an item that must be equal gives the same figures, so its first one is enough.
+    whole = (F.col("_n") <= min(len(seeds.short), seeds.verify)) & (F.ceil(F.col("_n") * seeds.identity) == F.col("_n"))
+    small = small.groupBy("seed").agg(F.collect_list(F.struct("_item", "_key", "at", whole.alias("whole"))).alias("places"))
+    windows = _seeds(texts.select("_id", F.xxhash64("_text").alias("_hash"), _tokens(F.col("_text")).alias("tokens")), ["_id", "_hash"], masks)
     hits = windows.join(F.broadcast(small) if bounded else small, "seed").select("_id", "_hash", "at", F.explode("places").alias("p"))
-    hits = stored(hits.select("_id", "_hash", F.col("p._item").alias("_item"), F.col("p._key").alias("_key"), (F.col("at") - F.col("p.at")).alias("diagonal")).distinct(), "hits")
+    hits = hits.select("_id", "_hash", F.col("p._item").alias("_item"), F.col("p._key").alias("_key"), (F.col("at") - F.col("p.at")).alias("diagonal"), F.col("p.whole").alias("_whole"))
+    hits = hits.groupBy("_id", "_hash", "_item", "_key", F.when(~F.col("_whole"), F.col("diagonal")).alias("_own")).agg(F.min("diagonal").alias("diagonal"))
+    hits = stored(hits.drop("_own"), "hits")
 
     laid = hits.join(F.broadcast(items.distinct()) if bounded else items.distinct(), (hits["_item"].eqNullSafe(items["_item"])) & (hits["_key"] == items["_key"]))
     laid = laid.select(hits["_id"].alias("_doc"), "_hash", hits["_item"], "diagonal", F.col("tokens").alias("item"))

@@ -1,6 +1,7 @@
 """Operators over pairs and passages against brute force, and the pipeline."""
 
 import hashlib
+import itertools
 import random
 from collections import Counter
 
@@ -240,6 +241,46 @@ def test_planted_benchmark_passages(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, found))
 
 
+def _overlaps(docs, items, width=13):
+    """(diagonal, compared, equal, best) of each pair that passes, by trying all diagonals."""
+    out = {}
+    for doc, text in docs:
+        d = text.split()
+        for item, words in items:
+            b = words.split()
+            w, found = min(len(b), width), []
+            for diagonal in range(1 - len(b), len(d)):
+                start = max(diagonal, 0)
+                same = [x == y for x, y in zip(d[start:], b[start - diagonal:])]
+                best = max((sum(same[i: i + w]) for i in range(len(same) - w + 1)), default=-1)
+                if 10 * best >= 8 * w:
+                    found.append((sum(same), len(same), -diagonal, best))
+            if found:
+                equal, compared, back, best = max(found)
+                out[doc, item] = (-back, compared, equal, best)
+    return out
+
+
+def test_every_accepted_overlap_has_a_seed(spark):
+    docs, items = [], []
+    for n in range(1, 14):
+        words = [f"n{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        for gone in itertools.combinations(range(n), n - -(-8 * n // 10)):
+            docs.append((len(docs), " ".join(["x", "y"] + ["other" if k in gone else w for k, w in enumerate(words)] + ["z"])))
+    items.append((20, " ".join(f"long{k}" for k in range(40))))
+    for phase in range(5):
+        docs.append((len(docs), " ".join("other" if k % 5 == phase else f"long{k}" for k in range(40))))
+    count = len(docs)
+    rng = random.Random(12)
+    items += [(30 + i, " ".join(rng.choices("abcd", k=rng.randint(1, 16)))) for i in range(12)]
+    docs += [(len(docs) + i, " ".join(rng.choices("abcd", k=rng.randint(1, 40)))) for i in range(40)]
+    want = _overlaps(docs, items)
+    assert {d for d, _ in want} >= set(range(count))
+    found = spaced.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.diagonal, r.compared, r.equal, r.best) for r in found} == want and len(found) == len(want)
+
+
 def test_benchmark_edges(spark, tricky, nothing):
     items = spark.createDataFrame([(1, None), (2, "")], "item_id long, text string")
     assert spaced.contaminated(tricky, items).count() == 0
