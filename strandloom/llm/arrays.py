@@ -75,7 +75,8 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of the bytes of each span; spans are in order of their starts.
 
-    Works in blocks, so memory does not grow with the text; a span longer than a block is hashed alone.
+    Works in blocks, so memory does not grow with the text. The length of a span alone decides how it is hashed: half a block
+    or more by xxh3, less by a polynomial, wherever it lies.
     """
     out = np.empty(len(starts), U64)
     i = 0
@@ -95,6 +96,8 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
             np.cumsum(_TABLE[data[first:last]] * _POW[: last - first], out=part[1:])
             a, b = starts[i:j] - first, ends[i:j] - first
             out[i:j] = (part[b] - part[a]) * _INV[a]
+            for k in i + np.flatnonzero(ends[i:j] - starts[i:j] >= _BLOCK // 2):
+                out[k] = xxhash.xxh3_64_intdigest(data[starts[k]: ends[k]].tobytes())
         i = j
     return mix(out + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 

@@ -31,6 +31,21 @@ def test_long_spans_hash_by_content():
     assert h[0] == h[2] != h[1] == h[3]
 
 
+@pytest.mark.parametrize("size", [130_000, 131_071, 131_072, 200_000, 262_143, 262_144, 270_000])
+def test_spans_of_a_block_hash_alike_everywhere(size):
+    word = np.random.default_rng(size).integers(97, 123, size).astype(np.uint8).tobytes()
+    other = np.random.default_rng(7).integers(97, 123, size).astype(np.uint8).tobytes()
+    hashes = set()
+    for before in (0, 5, 60_000, 100_000, 131_060, 140_000, 200_000):
+        text = b"ab " * (before // 3) + word + b" tail " + other
+        data = np.frombuffer(text, np.uint8)
+        starts, ends, _ = arrays.word_bounds(data, np.array([0, len(data)]))
+        h = arrays.span_hash(data, starts, ends)
+        assert ends[-3] - starts[-3] == size
+        hashes.add((int(h[-3]), int(h[-1])))
+    assert len(hashes) == 1 and len(set(hashes.pop())) == 2
+
+
 def _bands(text):
     words = ascii_words(text)
     seen, dup = set(), 0
