@@ -147,3 +147,11 @@ def op8(spark, folder):
     from strandloom.llm import sigtree
 
     return sigtree.similar_components(documents(spark, folder))
+
+
+@query("op12_periodic_runs")
+def op12(spark, folder):
+    """Periodic runs of words of every document, some of whose words are first replaced by repetitions."""
+    from strandloom.llm import periodic
+
+    return periodic.periodic_runs(documents(spark, folder), planted=True)
