@@ -155,3 +155,11 @@ def op12(spark, folder):
     from strandloom.llm import periodic
 
     return periodic.periodic_runs(documents(spark, folder), planted=True)
+
+
+@query("op11_spelling_variants")
+def op11(spark, folder):
+    """Words of all documents, some with a deleted letter, with their near words' number, form and root."""
+    from strandloom.llm import variants
+
+    return variants.spelling_variants(documents(spark, folder), variants.Rules(deletion=31))
