@@ -163,3 +163,17 @@ def op11(spark, folder):
     from strandloom.llm import variants
 
     return variants.spelling_variants(documents(spark, folder), variants.Rules(deletion=31))
+
+
+def _licences_check() -> str:
+    from strandloom.llm import licences
+
+    return licences.oracle()
+
+
+@query("op13_license_scans", _licences_check())
+def op13(spark, folder):
+    """License labels of every document by ordered signature rules."""
+    from strandloom.llm import licences
+
+    return licences.license_scan(documents(spark, folder))
