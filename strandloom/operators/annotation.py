@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.operators.intervals import with_islands
+from strandloom.operators.scan import numbered, tile_of
+from strandloom.session import cut_lineage
+
+CHAIN = ["chrom", "start", "end", "name", "element", "label", "strand"]
 
 
 def family_pairs(families: DataFrame) -> DataFrame:
@@ -54,68 +55,96 @@ def repeat_elements(bed: DataFrame) -> DataFrame:
     )
 
 
-def _absorbed(edge: int, near: np.ndarray, far: np.ndarray, fits: np.ndarray, max_gap: int) -> np.ndarray:
-    """Which neighbours an element takes in on one side, given in order of distance.
+def _fitting(elements: DataFrame, families: DataFrame) -> DataFrame:
+    """``name, other, fits``: which names hold a partner of ``name``; names are few, elements many."""
+    names = elements.select("name").distinct()
+    pairs = names.join(families, "name").join(names.select(F.col("name").alias("other")), F.expr("contains(other, partner)"))
+    return pairs.select("name", "other").distinct().withColumn("fits", F.lit(True))
+
+
+def _beside(acting: DataFrame, elements: DataFrame) -> DataFrame:
+    """Each acting element with itself (step 0) and the ``window`` elements before and after it on the chromosome."""
+    wanted = acting.select("chrom", "place", "element", "name", "start", "end", "window", F.explode(F.expr("sequence(-window, window)")).alias("step"))
+    other = elements.select(
+        "chrom", F.col("place").alias("_near"), F.col("element").alias("other_element"), F.col("name").alias("other"),
+        F.col("start").alias("other_start"), F.col("end").alias("other_end"),
+    )
+    return wanted.withColumn("_near", F.col("place") + F.col("step")).join(other, ["chrom", "_near"])
+
 
-    ``near`` and ``far`` are the neighbours' edges as distances grow. The gap before a neighbour runs from the far edge of
-    the last fitting neighbour before it; the first gap that is negative or too wide ends the side.
+def _taken(rows: DataFrame, max_gap: int) -> DataFrame:
+    """The rows of ``_beside`` that each acting element takes in, itself included; ``more`` marks a side that goes on.
+
+    ``rows`` has ``free`` and ``fits``. The gap before a neighbour runs from the far edge of the last one taken in
+    (the element's own edge at first); a free neighbour with a gap that is negative or too wide ends the side.
     """
-    last = np.maximum.accumulate(np.where(fits, np.arange(1, len(fits) + 1), 0))
-    reach = np.concatenate([[edge], far])[np.concatenate([[0], last[:-1]])] if len(fits) else near
-    gap = near - reach
-    open_ = np.logical_and.accumulate((gap >= 0) & (gap <= max_gap))
-    return open_ & fits
-
-
-def _chainer(max_gap: int):
-    """Group function for the elements of one island; built inside a function to travel by value."""
-    absorbed = _absorbed
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("element", ignore_index=True)
-        start, end = pdf["start"].to_numpy(), pdf["end"].to_numpy()
-        free = np.ones(len(pdf), bool)
-        kept = []
-        for i in np.flatnonzero(pdf["label"] != "PART"):
-            if not free[i]:
-                continue
-            fits = pdf["name"].map(lambda name: any(p in name for p in pdf["partners"][i])).to_numpy(bool)  # noqa: B023
-            before, after = np.flatnonzero(free[:i])[::-1], i + 1 + np.flatnonzero(free[i + 1:])
-            left = before[absorbed(-start[i], -end[before], -start[before], fits[before], max_gap)]
-            right = after[absorbed(end[i], start[after], end[after], fits[after], max_gap)]
-            free[i] = free[left] = free[right] = False
-            low = start[left[-1]] if len(left) else start[i]
-            kept.append((i, low, end[right[-1]] if len(right) else end[i]))
-        rows, low, high = (np.array(x, np.int64) for x in (zip(*kept) if kept else ((), (), ())))
-        out = pdf.iloc[rows].assign(start=low, end=high)
-        return out[["chrom", "start", "end", "name", "element", "label", "strand"]]
-
-    return chain
-
-
-def chain_repeats(elements: DataFrame, families: DataFrame, max_gap: int = 500) -> DataFrame:
+    side = F.signum("step")
+    order = Window.partitionBy("element", side).orderBy(F.abs("step"))
+    right = F.col("step") > 0
+    near = F.when(right, F.col("other_start")).otherwise(-F.col("other_end"))
+    far = F.when(right, F.col("other_end")).otherwise(-F.col("other_start"))
+    own = F.when(right, F.col("end")).otherwise(-F.col("start"))
+    joins = F.col("free") & F.col("fits")
+    edge = F.last(F.when(joins, far), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    gap = near - F.coalesce(edge, own)
+    rows = rows.withColumn("_ends", F.col("free") & (F.col("step") != 0) & ((gap < 0) | (gap > max_gap)))
+    rows = rows.withColumn("_open", ~F.max("_ends").over(order))
+    return rows.select(
+        "chrom", "element", "other_element", "other_start", "other_end", ((F.col("step") == 0) | (F.col("_open") & joins)).alias("taken"),
+        (F.col("_open") & (F.abs("step") == F.col("window"))).alias("more"),
+    ).where("taken or more")
+
+
+def chain_repeats(elements: DataFrame, families: DataFrame, max_gap: int = 500, window: int = 4) -> DataFrame:
     """Chain elements of compatible families at most ``max_gap`` bases apart.
 
-    ``families``: name, partner. A scan stops at the first wider gap, so islands of
-    elements separated by more than ``max_gap`` are independent and each is chained
-    on its own.
+    ``families``: name, partner. By rising ``element``, each labelled element that is left takes in fitting neighbours on
+    both sides; what it takes is gone for later ones.
+
+    The order is settled in rounds over all chromosomes at once. In a round, every labelled element acts on what those of smaller
+    id left it in the round before. A decision depends on smaller ids only: the first round settles the smallest of
+    each crowd, the next one what depends on those alone, and when a round changes nothing the result is that of the sequential order.
+    An element looks at ``window`` places on either side, and at four times as many where a side does not end within
+    them, so rows grow with what is taken in and not with the square of a crowd. Elements without a name or chromosome
+    fit nothing and keep to themselves.
     """
-    partners = families.groupBy("name").agg(F.sort_array(F.collect_set("partner")).alias("partners"))
-    known = elements.join(partners, "name", "left").withColumn(
-        "partners", F.coalesce("partners", F.array().cast("array<string>"))
-    )
-    islands = with_islands(known, ["chrom"], "start", "end", max_gap)
-    cols = ["chrom", "island_start", "element", "name", "start", "end", "label", "strand", "partners"]
-    return islands.select(*cols).groupBy("chrom", "island_start").applyInPandas(
-        _chainer(max_gap),
-        "chrom string, start long, end long, name string, element long, label string, strand string",
-    )
+    known = numbered(elements.select(*CHAIN), ["chrom"], ["element"], tile_of("element", 1 << 16), "place")
+    known = cut_lineage(known)
+    fits = cut_lineage(_fitting(known, families))
+    labelled = known.where("label <> 'PART'").withColumn("window", F.lit(window))
+    before = None
+    while True:
+        if before is None:
+            acting, takers = labelled, known.select(F.col("element").alias("other_element"), F.lit(None).cast("long").alias("taker")).limit(0)
+        else:
+            takers = before.where("taken").groupBy("other_element").agg(F.min("element").alias("taker"))
+            wider = before.where("more").select("element", F.lit(True).alias("_wider")).distinct()
+            acting = labelled.join(wider, "element", "left").withColumn("window", F.when(F.col("_wider"), F.col("window") * 4).otherwise(F.col("window"))).drop("_wider")
+            labelled = acting = cut_lineage(acting)
+            taken = takers.select(F.col("other_element").alias("element"), F.col("taker").alias("_own"))
+            acting = acting.join(taken, "element", "left").where(F.coalesce(F.col("_own") >= F.col("element"), F.lit(True)))
+        rows = _beside(acting, known).join(fits, ["name", "other"], "left").join(takers, "other_element", "left")
+        rows = rows.withColumns({"fits": F.coalesce("fits", F.lit(False)), "free": F.coalesce(F.col("taker") >= F.col("element"), F.lit(True))})
+        now = cut_lineage(_taken(rows, max_gap))
+        if before is not None and now.where("more").isEmpty():
+            key = ["element", "other_element"]
+            old, new = before.where("taken").select(*key), now.where("taken").select(*key)
+            if old.count() == new.count() and new.join(old, key, "left_anti").isEmpty():
+                break
+        before = now
+    spans = now.where("taken").groupBy("element").agg(F.min("other_start").alias("start"), F.max("other_end").alias("end"))
+    return known.drop("start", "end", "place").join(spans, "element").select(*CHAIN)
+
+
+def _drawn(side: str, extension: int, seed: int):
+    """A number below ``extension`` from the md5 of element, seed and side."""
+    text = F.concat_ws(":", F.col("element").cast("string"), F.lit(str(seed)), F.lit(side))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % extension
 
 
 def extended(chains: DataFrame, extension: int = 300, seed: int = 12345) -> DataFrame:
     """Widen both sides by a pseudo-random length below ``extension``, fixed by seed and element."""
-    left = F.pmod(F.xxhash64("element", F.lit(seed), F.lit("left")), F.lit(extension))
-    right = F.pmod(F.xxhash64("element", F.lit(seed), F.lit("right")), F.lit(extension))
+    left, right = _drawn("left", extension, seed), _drawn("right", extension, seed)
     return chains.withColumns(
         {"start": F.greatest(F.lit(0), F.col("start") - left), "end": F.col("end") + right}
     )

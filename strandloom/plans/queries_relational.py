@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import evidence as ev
 from strandloom.model import STEPS
 from strandloom.operators import (
-    annotation, clusters, complete, components, dedupe, evaluate, extract, graphprep, growth, intervals, overlap, transfer,
+    annotation, clusters, complete, components, dedupe, evaluate, extract, graphprep, growth, intervals, overlap, sampling, transfer,
 )
 from strandloom.operators.scan import placed, prefix_scan, quantiles, tile_of
 from strandloom.plans.registry import query
@@ -666,15 +666,66 @@ def _elements(t):
     return annotation.repeat_elements(text.parse_repeat_bed(lines, ["ordinal"]))
 
 
-@query("g13_chain_repeats")
+# Elements with short gaps and overlaps: insides (F) with the outsides (LTR) that belong to them, others in between.
+ELEMENTS = """SELECT 'c' || CAST(p_partkey % 3 AS STRING) AS chrom, p_partkey * 150 + p_size * 4 AS start, p_partkey * 150 + p_size * 4 + 20 + p_partkey * 37 % 400 AS stop,
+    CASE WHEN p_partkey % 7 IN (0, 3, 5) THEN 'F' || CAST(p_partkey % 2 AS STRING) ELSE 'LTR' || CAST(p_size % 4 AS STRING) END AS name, p_partkey AS element,
+    CASE WHEN p_partkey % 7 IN (0, 3) THEN 'STR' WHEN p_partkey % 7 = 1 THEN 'LEN' ELSE 'PART' END AS label, CASE WHEN p_size % 2 = 0 THEN '+' ELSE '-' END AS strand FROM {part}"""
+FAMILIES = """SELECT DISTINCT 'F' || CAST(p_partkey % 2 AS STRING) AS name, 'LTR' || CAST(p_partkey % 2 + p_size % 2 AS STRING) AS partner FROM {part}"""
+# One element after the other: ``free`` holds those of a chromosome that are left, folded to both sides of the one that acts.
+_SIDE = """list_reduce({rows}, lambda a, x: CASE WHEN NOT a.ok OR {gap} < 0 OR {gap} > 500 THEN {{'ok': false, 'edge': a.edge, 'got': a.got}}
+    WHEN len(list_filter(ps, lambda p: contains(x.name, p))) > 0 THEN {{'ok': true, 'edge': {far}, 'got': list_append(a.got, x.rn)}} ELSE a END, {{'ok': true, 'edge': {own}, 'got': []::BIGINT[]}})"""
+_LEFT = _SIDE.format(rows="list_reverse(list_filter(free, lambda x: x.rn < k))", gap="(a.edge - x.e)", far="x.s", own="start")
+_RIGHT = _SIDE.format(rows="list_filter(free, lambda x: x.rn > k)", gap="(x.s - a.edge)", far="x.e", own="stop")
+CHAINED = f"""WITH RECURSIVE fam AS ({FAMILIES}), el AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY chrom ORDER BY element) AS rn FROM ({ELEMENTS}) p),
+      pt AS (SELECT name, list(DISTINCT partner) AS ps FROM (SELECT * FROM fam UNION SELECT partner, name FROM fam) f GROUP BY name),
+      e2 AS (SELECT el.*, coalesce(ps, []) AS ps FROM el LEFT JOIN pt USING (name)),
+      r AS (SELECT chrom, CAST(0 AS BIGINT) AS k, list({{'rn': rn, 's': start, 'e': stop, 'name': name}} ORDER BY rn) AS free, false AS acts, CAST(0 AS BIGINT) AS low, CAST(0 AS BIGINT) AS high FROM el GROUP BY chrom
+        UNION ALL SELECT chrom, k, CASE WHEN acts THEN list_filter(free, lambda x: x.rn <> k AND NOT list_contains(l.got, x.rn) AND NOT list_contains(g.got, x.rn)) ELSE free END, acts, l.edge, g.edge FROM (
+          SELECT *, {_LEFT} AS l, {_RIGHT} AS g FROM (SELECT r.chrom, r.k + 1 AS k, free, start, stop, ps, label <> 'PART' AND len(list_filter(free, lambda x: x.rn = r.k + 1)) > 0 AS acts
+            FROM r JOIN e2 ON e2.chrom = r.chrom AND e2.rn = r.k + 1) q) z),
+      chained AS (SELECT r.chrom, low AS start, high AS stop, name, element, label, strand FROM r JOIN e2 ON e2.chrom = r.chrom AND e2.rn = r.k WHERE acts)"""
+_DRAWN = "CAST('0x' || substr(md5(CAST(element AS VARCHAR) || ':12345:{side}'), 1, 8) AS BIGINT) % 300"
+WIDENED = f"""{CHAINED}, w AS (SELECT chrom, greatest(0, start - {_DRAWN.format(side='left')}) AS start, stop + {_DRAWN.format(side='right')} AS stop, name || ':' || CAST(element AS VARCHAR) || ':' || label AS name, strand FROM chained)"""
+
+
+def _chained(t):
+    both = t.sql(FAMILIES)
+    both = both.union(both.select("partner", "name"))
+    return annotation.chain_repeats(t.sql(ELEMENTS).withColumnRenamed("stop", "end"), both)
+
+
+@query("g13_chain_repeats", f"{CHAINED} SELECT * FROM chained")
 def chain_repeats(t):
-    """Consuming neighbours in order has no SQL form; tested against a plain loop. P-26, SNK-08: widened BED rows."""
-    fam = t.sql(
-        """SELECT DISTINCT 'F' || CAST(l_linenumber AS STRING) AS name, 'LTR' || CAST(l_linenumber % 4 AS STRING) AS partner FROM {lineitem}"""
-    )
-    both = fam.union(fam.select("partner", "name"))
-    chained = annotation.chain_repeats(_elements(t), both)
-    return annotation.as_bed(annotation.extended(chained)).withColumnRenamed("end", "stop")
+    """Elements chained with compatible ones beside them, by rising id."""
+    return _chained(t).withColumnRenamed("end", "stop")
+
+
+@query("snk08_bed", f"{WIDENED} SELECT chrom, start, stop, name, '.' AS score, strand FROM w")
+def annotation_bed(t):
+    """P-26: chained elements widened by a seeded random length, as BED rows."""
+    return annotation.as_bed(annotation.extended(_chained(t))).withColumnRenamed("end", "stop")
+
+
+@query(
+    "snk08_gtf",
+    f"""{WIDENED} SELECT chrom, 'simulate' AS source, 'gene' AS feature, start, stop, '.' AS score, strand, '.' AS frame, 'gene_id "' || name || '"; locus "' || name || '"' AS attributes FROM w""",
+)
+def annotation_gtf(t):
+    """The same elements as GTF rows."""
+    return annotation.as_gtf(annotation.extended(_chained(t))).withColumnRenamed("end", "stop")
+
+
+@query(
+    "p26_weighted_choice",
+    """WITH d AS (SELECT n, allele, SUM(depth) AS depth FROM (SELECT l_partkey AS n, l_suppkey AS allele, CASE WHEN l_partkey % 9 = 0 THEN 0 ELSE GREATEST(l_quantity - 10, 0) END AS depth FROM {lineitem}) x GROUP BY n, allele),
+      u AS (SELECT *, (CAST('0x' || substr(md5('11|' || CAST(n AS VARCHAR) || '|' || CAST(allele AS VARCHAR)), 1, 8) AS BIGINT) + 0.5) / 4294967296.0 AS u FROM d),
+      k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY n ORDER BY CASE WHEN depth > 0 THEN 0 ELSE 1 END, CASE WHEN depth > 0 THEN -ln(u) / depth END, allele) AS k, COUNT(*) OVER (PARTITION BY n) AS choices, SUM(depth) OVER (PARTITION BY n) AS total FROM u)
+      SELECT n, allele, choices, CAST(total AS DOUBLE) AS total FROM k WHERE k = 1""",
+)
+def weighted_choice(t):
+    """One allele per node, drawn in proportion to its depth; nodes without depth take the first."""
+    depth = t.sql("SELECT l_partkey AS n, l_suppkey AS allele, SUM(CASE WHEN l_partkey % 9 = 0 THEN 0 ELSE GREATEST(l_quantity - 10, 0) END) AS depth FROM {lineitem} GROUP BY l_partkey, l_suppkey")
+    return sampling.weighted_choice(depth, ["n"], "allele", "depth", seed=11)
 
 
 @query(
