@@ -216,7 +216,8 @@ def test_whole_run(spark):
     codes = sorted((r.feature, r.code) for r in routed.select("feature", "code").distinct().collect())
     assert codes == [("T|a|1", "O"), ("T|b|2", "O"), ("T|c|3", "A")]
     # every alignment looks the same, so only four reads of the run pass
-    thinned = stages.overlap_features(keeps, ranges, feats, "r")
+    assert stages.overlap_features(keeps, ranges, feats, "r").filter("feature = 'T|a|1'").count() == 12
+    thinned = stages.overlap_features(keeps, ranges, feats, "r", thin=True)
     assert thinned.filter("feature = 'T|a|1'").count() == 4
     body = routed.filter("code = 'O'").select("feature", "alignment")
     alignments = keeps.select(
