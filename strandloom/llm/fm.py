@@ -167,7 +167,7 @@ def _gradient(linear: np.ndarray, factors: np.ndarray, intercept: float):
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on labelled rows of ``docs``; the caller leaves out what must stay unseen.
+    """Fit on labelled rows of ``docs``; the caller leaves out what must stay unseen, in ``labels`` too.
 
     ``sample_rows`` bounds the fitted rows, and so the broadcast ids: the share of labels kept is that bound over
     their count, by a hash of the id. Everything else of the library's statistics covers all rows.
@@ -175,8 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg((F.avg(label_col) >= 0.5).cast("double").alias("label"))
     total = known.count()
     share = min(1.0, settings.sample_rows / max(total, 1))
-    bucket = F.pmod(F.xxhash64("_id", F.lit(settings.seed)), F.lit(1_000_000))
-    known = known.where(bucket < int(share * 1_000_000))
+    bucket = F.pmod(F.xxhash64("_id", F.lit(settings.seed)), F.lit(1 << 53))
+    known = known.where(bucket < int(share * (1 << 53)))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias(text_col))
     rows = rows.join(F.broadcast(known), "_id").select("label", text_col)
     rows = rows.mapInArrow(_extract(settings.buckets, text_col), "label binary, at binary, number binary, value binary")
@@ -229,8 +229,13 @@ def fold(id_col: str, folds: int = 5):
     return F.crc32(F.col(id_col).cast("long").cast("string")) % folds
 
 
+def fit_outside(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), held: int = 0) -> Model:
+    """Fit without the documents and the labels of the fold ``held``: they reach no count, sample or weight."""
+    return fit(docs.where(fold("doc_id") != held), labels.where(fold("doc_id") != held), settings)
+
+
 def quality(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; fitted without the fold 0."""
-    model = fit(docs.where(fold("doc_id") != 0), labels, settings)
+    model = fit_outside(docs, labels, settings)
     return score_all(docs, model).select(
         "doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= settings.threshold).cast("int").alias("predicted"))

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from llm_helpers import ascii_words, prose
 from strandloom.llm import arrays, bands, fm, lattice, longest_match, packing, queries
@@ -128,6 +129,37 @@ def test_classifier_on_held_out_rows(spark):
     assert np.mean([(s >= 0.3) == (y == 1) for s, y in held]) > 0.9
 
 
+def test_held_out_labels_reach_no_score(spark, folder):
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    flipped = labels.withColumn("quality", F.when(fm.fold("doc_id") == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert labels.exceptAll(flipped).count() > 5
+    few = fm.Settings(rounds=3)
+    scores = [{r.doc_id: r.score for r in fm.quality(docs, rows, few).collect()} for rows in (labels, flipped, labels.where(fm.fold("doc_id") != 0))]
+    assert scores[0] == scores[1] == scores[2]
+
+
+def test_classifier_features_and_scores_by_hand(spark):
+    texts = {1: "One two two", 2: None, 3: "a b c d e f g", 4: "x " * 40}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    settings = fm.Settings(buckets=64)
+    size = settings.buckets + fm.N_STATS
+    rng = np.random.default_rng(5)
+    model = fm.Model(settings, -0.2, rng.normal(size=size), rng.normal(size=(size, settings.factors)))
+    got = {r.doc_id: r.score for r in fm.score_all(docs, model).collect()}
+    for key, text in texts.items():
+        _, number, value = fm.features(pa.array([text]), settings.buckets)
+        x = np.zeros(size)
+        np.add.at(x, number, value)
+        raw = model.intercept + x @ model.linear + sum(model.factors[a] @ model.factors[b] * x[a] * x[b] for a in range(size) for b in range(a))
+        assert got[key] == pytest.approx(1 / (1 + math.exp(-raw)))
+        counts = Counter(ascii_words(text, True))
+        weights = sorted(1 + math.log(n) for n in counts.values())
+        norm = math.sqrt(sum(w * w for w in weights)) or 1.0
+        found = value[number < settings.buckets]
+        if len(found) == len(counts):
+            assert sorted(found) == pytest.approx([w / norm for w in weights])
+
+
 def test_classifier_edges(spark, tricky, nothing):
     few = fm.Settings(rounds=3)
     none = spark.createDataFrame([], "doc_id long, quality int")
