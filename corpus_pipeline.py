@@ -13,8 +13,7 @@ from strandloom.llm.storage import Tables
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it never learns from the held-out fold."""
     ship(spark)
-    model = fm.fit(docs.where(fm.fold("doc_id") != 0), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return fm.keep_good(docs, model)
+    return fm.keep_good(docs, fm.fit_outside(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
