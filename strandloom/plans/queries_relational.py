@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import evidence as ev
@@ -11,7 +14,8 @@ from strandloom.operators import (
 )
 from strandloom.operators.scan import placed, prefix_scan, quantiles, tile_of
 from strandloom.plans.registry import query
-from strandloom.sources import sinks, text
+from strandloom.session import ensure_checkpoint_dir
+from strandloom.sources import regions, sinks, text
 
 # ------------------------------------------------------------------------ joins
 
@@ -39,6 +43,47 @@ def region_lookup(t):
     return intervals.range_join(reads, feats, [], ("a", "b"), ("c", "d")).select("pair", "feature")
 
 
+def _stored(t, name):
+    """A fresh folder in the shared storage of the session."""
+    return f"{ensure_checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "src04_region_layout",
+    "SELECT rid, chrom, s, e FROM {spans} WHERE (chrom = 3 AND s < 520 AND e > 500) OR (chrom = 7 AND s < 1401 AND e > 1400) OR (chrom = 7 AND s < 1450 AND e > 1390) OR (chrom = 1 AND s < 2000 AND e > 30)",
+)
+def region_layout(t):
+    """SNK-03, SRC-04: all spans written by length class, bin and start; literal regions looked up in the files."""
+    path = _stored(t, "regions")
+    regions.write_regions(t["spans"], ["chrom"], "s", "e", path, bin_width=256)
+    return regions.read_regions(t.spark, path).lookup((3, 500, 520), (7, 1400, 1401), (7, 1390, 1450), (1, 30, 2000)).select("rid", "chrom", "s", "e")
+
+
+@query("src06_keyed_table", "SELECT node, len FROM {node_len} WHERE node IN (3, 50, 51, 117, 199, 1000000) UNION ALL SELECT node, len FROM {node_len} WHERE node IN (SELECT s_suppkey * 3 FROM {supplier})")
+def keyed_table(t):
+    """Node lengths stored by key and loaded by literal keys and by a table of keys."""
+    path = _stored(t, "keyed")
+    regions.write_keyed(t["node_len"], "node", path)
+    wanted = t["supplier"].select((F.col("s_suppkey") * 3).alias("node"))
+    return regions.read_keyed(t.spark, path, "node", [3, 50, 51, 117, 199, 1000000]).unionByName(regions.read_keyed(t.spark, path, "node", wanted))
+
+
+@query(
+    "snk03_sorted_files",
+    """SELECT CAST(COUNT(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS overlaps, MIN(chrom) AS first_chrom, MAX(chrom) AS last_chrom FROM {spans}""",
+)
+def sorted_files(t):
+    """Globally sorted files, read back: rows, and files that reach into the next one."""
+    path = _stored(t, "sorted")
+    sinks.write_sorted(t["spans"], ["chrom", "s", "e", "rid"], path)
+    key = F.struct("chrom", "s", "e", "rid")
+    files = t.spark.read.parquet(path).groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.min(key).alias("low"), F.max(key).alias("high"))
+    follows = F.lead("low").over(Window.orderBy("low"))
+    # One row per file.
+    files = files.withColumn("over", (F.col("high") > follows).cast("long"))
+    return files.agg(F.sum("rows").alias("n"), F.coalesce(F.sum("over"), F.lit(0)).alias("overlaps"), F.min("low.chrom").alias("first_chrom"), F.max("high.chrom").alias("last_chrom"))
+
+
 READ_STEPS = """SELECT alignment, n AS node, dir, ln AS s, 60 AS e FROM {alignments} UNION ALL
     SELECT alignment, n + 1, dir, 0, 60 - score % 30 FROM {alignments}"""
 FEATURE_STEPS = """SELECT p_partkey AS feature, p_partkey + 5 AS node, CASE WHEN p_size % 3 = 0 THEN 0 WHEN p_size % 3 = 1 THEN 1 ELSE -1 END AS fdir,
