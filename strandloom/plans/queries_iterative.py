@@ -50,9 +50,22 @@ def em_final_counts(t):
     return em.em_counts(t["scores"], max_rounds=12).counts.select("feature", "count")
 
 
-@query("a01_em_settled")
+_SETTLED = """WITH RECURSIVE w AS (SELECT read, feature, SUM((exp(100.0 * (score / best - 1)) - exp(-100.0)) / (1 - exp(-100.0))) AS weight
+        FROM (SELECT *, MAX(score) OVER (PARTITION BY read) AS best FROM {scores}) b GROUP BY read, feature),
+    c AS MATERIALIZED (SELECT *, COUNT(*) OVER (PARTITION BY read) AS nf FROM w), m AS MATERIALIZED (SELECT read, feature, weight FROM c WHERE nf > 1),
+    k AS MATERIALIZED (SELECT COUNT(DISTINCT read) AS reads, COUNT(DISTINCT feature) AS k FROM c),
+    r AS (SELECT 0 AS it, feature, CAST(COUNT(CASE WHEN nf = 1 THEN 1 END) AS DOUBLE) AS uniq, CAST(any_value(reads) AS DOUBLE) / any_value(k) AS total, CAST(1 AS DOUBLE) AS shared, CAST(1 AS DOUBLE) AS moved FROM c, k GROUP BY feature
+      UNION ALL SELECT it, feature, uniq, total, shared, SUM(abs(total - old)) OVER () * k.k / k.reads FROM (
+        SELECT r.it + 1 AS it, r.feature, r.uniq, r.uniq + coalesce(q.p, 0) AS total, coalesce(q.p, 0) AS shared, r.total AS old FROM r LEFT JOIN (
+          SELECT feature, SUM(part) AS p FROM (SELECT read, feature, z / SUM(z) OVER (PARTITION BY read) AS part FROM (
+            SELECT m.read, m.feature, m.weight * r.total * r.shared AS z FROM m JOIN r USING (feature)) y) x GROUP BY feature) q ON q.feature = r.feature
+        WHERE r.moved >= 0.000001 AND r.it < 100) n, k)
+    SELECT feature, round(total, 4) AS abundance, CAST(round_even(total, 0) AS BIGINT) AS count FROM r WHERE it = (SELECT MAX(it) FROM r)"""
+
+
+@query("a01_em_settled", _SETTLED)
 def em_settled(t):
-    """Abundances and counts when the model has settled (1e-6) or after 100 rounds; tested against a plain loop."""
+    """Abundances and counts when the model has settled (1e-6) or after 100 rounds."""
     return em.em_counts(t["scores"]).counts.select("feature", F.round("abundance", 4).alias("abundance"), "count")
 
 
@@ -80,11 +93,12 @@ def _univariate(li, **limits):
     fit = mixture.univariate_mixture(li, "l_quantity", [10, 40], [60, 60], [0.5, 0.5], **limits)
     labelled = mixture.univariate_labels(li, "l_quantity", fit)
     first = F.col("component") == 1
-    return labelled.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select(
+    rows = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select(
         "component", "n",
         F.round(F.when(first, fit.means[0]).otherwise(fit.means[1]), 4).alias("mean"),
         F.round(F.when(first, fit.variances[0]).otherwise(fit.variances[1]), 4).alias("variance"),
     )
+    return rows if limits else rows.withColumns({"rounds": F.lit(fit.rounds), "converged": F.lit(fit.converged)})
 
 
 @query("a25_univariate_mixture", _mixture_check(4))
@@ -93,23 +107,62 @@ def univariate_mixture(t):
     return _univariate(t["lineitem"], tol=0.0, max_rounds=4)
 
 
-@query("a25_univariate_settled")
+_SETTLED_DENSITY = [f"q{k} * exp(-(x - m{k}) * (x - m{k}) / (2 * v{k})) / sqrt(2 * pi() * v{k})" for k in (1, 2)]
+UNIVARIATE = f"""WITH RECURSIVE l AS MATERIALIZED (SELECT l_quantity AS x, COUNT(*) AS c FROM {{lineitem}} GROUP BY l_quantity),
+    r AS (SELECT 0 AS it, CAST(1 AS DOUBLE) AS moved, CAST(0.5 AS DOUBLE) AS q1, CAST(0.5 AS DOUBLE) AS q2, CAST(10 AS DOUBLE) AS m1, CAST(40 AS DOUBLE) AS m2, CAST(60 AS DOUBLE) AS v1, CAST(60 AS DOUBLE) AS v2
+      UNION ALL SELECT it + 1, greatest(abs(w1 / n - q1), abs(w2 / n - q2), abs(s1 / w1 - m1), abs(s2 / w2 - m2), abs(t1 / w1 - (s1 / w1) * (s1 / w1) - v1), abs(t2 / w2 - (s2 / w2) * (s2 / w2) - v2)),
+          w1 / n, w2 / n, s1 / w1, s2 / w2, t1 / w1 - (s1 / w1) * (s1 / w1), t2 / w2 - (s2 / w2) * (s2 / w2)
+        FROM (SELECT it, q1, q2, m1, m2, v1, v2, SUM(c) AS n, SUM(c * a / (a + b)) AS w1, SUM(c * b / (a + b)) AS w2, SUM(c * a / (a + b) * x) AS s1, SUM(c * b / (a + b) * x) AS s2,
+            SUM(c * a / (a + b) * x * x) AS t1, SUM(c * b / (a + b) * x * x) AS t2
+          FROM (SELECT r.*, x, c, {_SETTLED_DENSITY[0]} AS a, {_SETTLED_DENSITY[1]} AS b FROM r, l WHERE moved > 0.00001 AND it < 100) d GROUP BY ALL) y),
+    f AS (SELECT * FROM r ORDER BY it DESC LIMIT 1)
+    SELECT component, COUNT(*) AS n, round(MAX(CASE WHEN component = 1 THEN m1 ELSE m2 END), 4) AS mean, round(MAX(CASE WHEN component = 1 THEN v1 ELSE v2 END), 4) AS variance, MAX(it) AS rounds, bool_and(moved <= 0.00001) AS converged
+    FROM (SELECT f.*, CASE WHEN {_SETTLED_DENSITY[0]} > {_SETTLED_DENSITY[1]} THEN 1 ELSE 2 END AS component FROM (SELECT l_quantity AS x FROM {{lineitem}}) li, f) y GROUP BY component"""
+
+
+@query("a25_univariate_settled", UNIVARIATE)
 def univariate_settled(t):
-    """Until no parameter moves by more than 1e-5 or after 100 rounds; tested against numpy."""
+    """Until no parameter moves by more than 1e-5 or after 100 rounds, and whether it has settled."""
     return _univariate(t["lineitem"])
 
 
-@query("a25_multivariate_mixture")
+def _multivariate_check() -> str:
+    """Plain rounds of two components in two dimensions; inverse and determinant of a 2 x 2 matrix are closed forms."""
+    ks = (1, 2)
+    det = {k: f"(a{k} * c{k} - b{k} * b{k})" for k in ks}
+    form = {k: f"(c{k} * (x - m{k}) * (x - m{k}) - 2 * b{k} * (x - m{k}) * (y - n{k}) + a{k} * (y - n{k}) * (y - n{k})) / {det[k]}" for k in ks}
+    dens = {k: f"q{k} * exp(-0.5 * {form[k]}) / (2 * pi() * sqrt({det[k]}))" for k in ks}
+    names = ["q", "m", "n", "a", "b", "c"]
+    state = ", ".join(f"{x}{k}" for k in ks for x in names)
+    start = {1: (0.5, 15, 20, 150, 0, 400), 2: (0.5, 35, 60, 150, 0, 400)}
+    first = ", ".join(f"CAST({v} AS DOUBLE) AS {x}{k}" for k in ks for x, v in zip(names, start[k]))
+    sums = ", ".join(f"SUM(r{k}) AS w{k}, SUM(r{k} * x) AS sx{k}, SUM(r{k} * y) AS sy{k}, SUM(r{k} * x * x) AS xx{k}, SUM(r{k} * x * y) AS xy{k}, SUM(r{k} * y * y) AS yy{k}" for k in ks)
+    new = ", ".join(
+        f"w{k} / cnt AS q{k}, sx{k} / w{k} AS m{k}, sy{k} / w{k} AS n{k}, xx{k} / w{k} - (sx{k} / w{k}) * (sx{k} / w{k}) AS a{k}, xy{k} / w{k} - (sx{k} / w{k}) * (sy{k} / w{k}) AS b{k}, yy{k} / w{k} - (sy{k} / w{k}) * (sy{k} / w{k}) AS c{k}"
+        for k in ks)
+    like = " + ".join(f"-0.5 * w{k} * (-ln(2 * pi()) - 0.5 * ln({det[k]}) - 1)" for k in ks)
+    return f"""WITH RECURSIVE l AS MATERIALIZED (SELECT l_quantity AS x, l_extendedprice / 1000 AS y FROM {{lineitem}}),
+      r AS (SELECT 0 AS it, CAST(1 AS DOUBLE) AS moved, CAST(0 AS DOUBLE) AS likelihood, {first}
+        UNION ALL SELECT it + 1, least(abs({like} - old), abs(q1 - p1), abs(q2 - p2)), {like}, {state} FROM (
+          SELECT it, likelihood AS old, w1, w2, q1 AS p1, q2 AS p2, {new} FROM (
+            SELECT it, likelihood, q1, q2, COUNT(*) AS cnt, {sums} FROM (
+              SELECT it, likelihood, q1, q2, x, y, d1 / (d1 + d2) AS r1, d2 / (d1 + d2) AS r2 FROM (
+                SELECT r.*, x, y, {dens[1]} AS d1, {dens[2]} AS d2 FROM r, l WHERE moved > 1e-12 AND it < 8000) e) f GROUP BY it, likelihood, q1, q2) g) h),
+      f AS (SELECT * FROM r ORDER BY it DESC LIMIT 1)
+      SELECT (SELECT COUNT(*) FROM l) AS n, round(q1, 4) AS p0, round(q2, 4) AS p1, round(m1, 4) AS m0, round(m2, 4) AS m1, moved <= 1e-12 AS converged FROM f"""
+
+
+@query("a25_multivariate_mixture", _multivariate_check())
 def multivariate_mixture(t):
-    """Matrix algebra per round has no portable SQL form; tested against numpy."""
+    """Two components in two dimensions, to the stopping rule."""
     rows = t["lineitem"].withColumn("price", F.col("l_extendedprice") / 1000)
     fit = mixture.multivariate_mixture(
-        rows, ["l_quantity", "price"], [[15, 20], [35, 60]], [[[150, 0], [0, 400]], [[150, 0], [0, 400]]], [0.5, 0.5]
+        rows, ["l_quantity", "price"], [[15, 20], [35, 60]], [[[150, 0], [0, 400]], [[150, 0], [0, 400]]], [0.5, 0.5], accelerate=True
     )
     score = [
         F.round(F.lit(p), 4).alias(f"p{i}") for i, p in enumerate(fit.probs)
     ] + [F.round(F.lit(m[0]), 4).alias(f"m{i}") for i, m in enumerate(fit.means)]
-    return rows.agg(F.count(F.lit(1)).alias("n")).select("n", *score)
+    return rows.agg(F.count(F.lit(1)).alias("n")).select("n", *score, F.lit(fit.converged).alias("converged"))
 
 
 _UNIFORM = "CAST('0x' || substr(md5(transcript || ':4:{}'), 1, 10) AS BIGINT) / 1099511627776.0"
