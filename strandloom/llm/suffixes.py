@@ -4,8 +4,9 @@ Every window of ``width`` bytes picks one suffix: the start of its least-hashed
 byte in twenty starts a sampled suffix. Suffixes meet by their gram. Where all stretches around one gram are equal, the
 least id decides. The others are sorted: within a gram and offset, the suffixes that start at the windows are put in order by
 a mergesort whose comparisons find the common extension of two suffixes by binary search over prefix polynomial
-hashes, in logarithmic time. Neighbours that agree in ``width`` bytes are compared byte by byte, so a hash collision
-cannot remove anything, and the least id of such a run of equal suffixes keeps its bytes.
+hashes, in logarithmic time. Most comparisons end at the first eight bytes. Neighbours that agree in ``width`` bytes are compared byte by byte,
+and the least id of such a run of equal suffixes keeps its bytes. What does not go through the sort (a gram with equal stretches only, later copies of a
+stretch, and very common grams) rests on 64-bit hashes of gram and stretch together, or on two hashes of the window.
 
 Rows are combined before they are exchanged: of the equal grams of one slice of documents one row goes by its gram and the
 others go anywhere. A gram with more than ``hot`` different stretches is not sorted in one task but decided by window
@@ -176,29 +177,48 @@ class SuffixSort:
         self.relative = np.append(relative, 0)
         self.prefix = np.zeros(len(data) + 1, U64)
         np.cumsum(arrays._TABLE[data] * arrays._POW[relative], out=self.prefix[1:])
+        # The first eight bytes of each suffix as a number; most comparisons end there.
+        self.head = np.zeros(len(data) + 1, U64)
+        for i in range(min(8, len(data))):
+            self.head[: len(data) - i] |= data[i:].astype(U64) << U64(56 - 8 * i)
+
+        self.full = np.zeros(len(data) + 1, U64)
+
+    def prepare(self, at: np.ndarray) -> None:
+        """Hash the ``width`` bytes of the suffixes that will be compared."""
+        self.full[at] = self._hash(at, np.full(len(at), self.width))
 
     def _hash(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         return (self.prefix[at + size] - self.prefix[at]) * arrays._INV[self.relative[at]]
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common extension of suffixes, up to ``width``, by binary search."""
-        lo, hi = np.zeros(len(a), np.int64), np.full(len(a), self.width)
-        for _ in range(int(self.width).bit_length()):
+        """Length of the common extension of prepared suffixes, up to ``width``, by binary search; equal ones take one step."""
+        n = np.full(len(a), self.width)
+        rest = np.flatnonzero(self.full[a] != self.full[b])
+        a, b = a[rest], b[rest]
+        lo, hi = np.zeros(len(rest), np.int64), np.full(len(rest), self.width - 1)
+        for _ in range(int(self.width).bit_length() if len(rest) else 0):
             mid = (lo + hi + 1) >> 1
             same = self._hash(a, mid) == self._hash(b, mid)
             lo, hi = np.where(same, mid, lo), np.where(same, hi, np.maximum(mid - 1, lo))
-        return lo
+        n[rest] = lo
+        return n
 
     def less(self, a: np.ndarray, b: np.ndarray, equal: np.ndarray) -> np.ndarray:
         """Whether suffix a comes before b; ``equal`` says what holds for suffixes that agree."""
+        mine, other = self.head[a], self.head[b]
+        out = mine < other
+        tied = np.flatnonzero(mine == other)
+        a, b = a[tied], b[tied]
         n = self.common(a, b)
-        full = n >= self.width
         at = np.minimum(n, self.width - 1)
-        return np.where(full, equal, self.data[a + at] < self.data[b + at])
+        out[tied] = np.where(n >= self.width, equal[tied], self.data[a + at] < self.data[b + at])
+        return out
 
     def sort(self, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Bottom-up mergesort of the suffixes ``at`` within each group ``start``, ``size``; all groups advance together."""
         at = at.copy()
+        self.prepare(at)
         begin, count = np.repeat(start, size), np.repeat(size, size)
         place = np.arange(len(at)) - begin
         run = 1
