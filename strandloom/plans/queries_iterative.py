@@ -235,6 +235,40 @@ def fewest_hops_fill(t):
     return first.select("pair", "hops", "cost", "depth", ids.alias("inner_ids"))
 
 
+# A chain of places: between two backbone nodes lie two short alleles and a long one; every fifth short one leads further on.
+BUBBLE_LEN = """SELECT p_partkey * 4 AS node, CAST(12 + p_size % 9 AS BIGINT) AS len FROM {part} UNION ALL SELECT p_partkey * 4 + 1, CAST(1 + p_size % 10 AS BIGINT) FROM {part}
+    UNION ALL SELECT p_partkey * 4 + 2, CAST(1 + p_size % 7 AS BIGINT) FROM {part} UNION ALL SELECT p_partkey * 4 + 3, CAST(11 + p_size % 3 AS BIGINT) FROM {part}"""
+BUBBLES = """SELECT p_partkey * 4 AS src, p_partkey * 4 + 1 AS dst, CAST(p_size % 6 AS BIGINT) AS weight FROM {part} UNION ALL SELECT p_partkey * 4, p_partkey * 4 + 2, CAST(p_size % 4 AS BIGINT) FROM {part}
+    UNION ALL SELECT p_partkey * 4, p_partkey * 4 + 3, CAST(p_size % 3 AS BIGINT) FROM {part} UNION ALL SELECT p_partkey * 4 + 1, p_partkey * 4 + 4, CAST(1 AS BIGINT) FROM {part}
+    UNION ALL SELECT p_partkey * 4 + 2, CASE WHEN p_size % 5 = 0 THEN p_partkey * 4 + 8 ELSE p_partkey * 4 + 4 END, CAST(2 AS BIGINT) FROM {part} UNION ALL SELECT p_partkey * 4 + 3, p_partkey * 4 + 4, CAST(0 AS BIGINT) FROM {part}"""
+BUBBLE_ENDS = "SELECT alignment AS pair, (n - 4) * 4 AS src, (n - 4) * 4 + 1 + score % 11 AS dst, CAST(20 + ln * 12 AS BIGINT) AS budget FROM {alignments}"
+
+
+@query(
+    "g06_bubble_fill",
+    f"""WITH RECURSIVE x AS ({BUBBLES}), ln AS ({BUBBLE_LEN}), tg AS MATERIALIZED ({BUBBLE_ENDS}), lim AS (SELECT src, MAX(budget) AS lim FROM tg GROUP BY src),
+      ahead AS (SELECT src AS dst, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS nexts FROM x GROUP BY src),
+      sized AS (SELECT x.*, coalesce(len, 1) AS to_len, coalesce(nexts, '') AS nexts FROM x LEFT JOIN ln ON x.dst = node LEFT JOIN ahead ON ahead.dst = x.dst),
+      alleles AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY src, nexts ORDER BY weight DESC, dst) AS k, SUM(weight) OVER (PARTITION BY src, nexts) AS total FROM sized WHERE to_len <= 10),
+      e AS MATERIALIZED (SELECT src, dst, weight, to_len, true AS passes FROM sized WHERE to_len > 10 UNION ALL SELECT src, dst, CASE WHEN k = 1 THEN total ELSE weight END, to_len, k = 1 FROM alleles),
+      r AS (SELECT src, src AS at, CAST(0 AS BIGINT) AS cost, CAST(0 AS BIGINT) AS through, CAST(0 AS HUGEINT) AS depth, 0 AS hops, true AS passes, CAST([] AS BIGINT[]) AS done, CAST([] AS BIGINT[]) AS inner_ids FROM lim
+        UNION ALL SELECT r.src, e.dst, r.through, r.through + e.to_len, r.depth + e.weight, r.hops + 1, e.passes, list_append(r.done, e.dst), r.done
+          FROM r JOIN e ON r.at = e.src JOIN lim ON lim.src = r.src WHERE r.through <= lim.lim AND r.passes),
+      o AS (SELECT pair, hops, cost, depth, inner_ids, row_number() OVER (PARTITION BY pair ORDER BY hops, cost, depth DESC, inner_ids) AS k
+        FROM tg JOIN r ON r.src = tg.src AND r.at = tg.dst AND hops > 0 WHERE cost <= budget)
+      SELECT pair, hops, cost, CAST(depth AS BIGINT) AS depth, list_aggregate(inner_ids, 'string_agg', ',') AS inner_ids FROM o WHERE k = 1""",
+)
+def bubble_fill(t):
+    """Paths through parallel alleles: at each place the allele seen most often, then the smallest node."""
+    want, lengths = t.sql(BUBBLE_ENDS), t.sql(BUBBLE_LEN)
+    graph = paths_search.contract_bubbles(t.sql(BUBBLES), lengths)
+    paths = paths_search.bounded_paths(want.select("src", "dst", "budget"), graph, lengths)
+    fits = want.join(paths, ["src", "dst"]).filter("cost <= budget")
+    first = fits.groupBy("pair").agg(F.min_by(F.struct("hops", "cost", "depth", "inner"), "hops").alias("r")).select("pair", "r.*")
+    ids = F.nullif(F.array_join(F.transform("inner", lambda n: n.cast("string")), ","), F.lit(""))
+    return first.select("pair", "hops", "cost", "depth", ids.alias("inner_ids"))
+
+
 @query(
     "g05_reference_fill",
     """WITH x AS (SELECT alignment, n * 30 + 10 AS lo, n * 30 + 10 + score * 8 AS hi, dir FROM {alignments}), s AS (SELECT p_partkey AS node, p_partkey * 30 AS s0, p_partkey * 30 + 30 AS s1 FROM {part})
