@@ -359,9 +359,7 @@ def region_growth(t):
     return growth.grow_assign(cand, None, rows, feats, "r", 2, "sample", 30).select("feature", "alignment")
 
 
-@query(
-    "g09_range_growth",
-    f"""WITH cand AS MATERIALIZED ({GROW_CAND}), st AS MATERIALIZED (SELECT feature, r.alignment, node, dir, s, e, (e - s) / 60.0 AS c FROM cand JOIN ({READ_STEPS}) r ON cand.alignment = r.alignment),
+RANGE_GROWTH = f"""WITH cand AS MATERIALIZED ({GROW_CAND}), st AS MATERIALIZED (SELECT feature, r.alignment, node, dir, s, e, (e - s) / 60.0 AS c FROM cand JOIN ({READ_STEPS}) r ON cand.alignment = r.alignment),
         f AS ({FEATURE_STEPS}), smp AS (SELECT alignment, rf FROM {{alignments}}),
         h AS (SELECT st.feature, st.alignment, SUM(CASE WHEN dir * fdir * -1 >= 0 THEN greatest(0, least(e, fe) - greatest(s, fs)) ELSE 0 END) AS same, SUM(greatest(0, least(e, fe) - greatest(s, fs))) AS total
               FROM st JOIN f ON st.feature = f.feature AND st.node = f.node GROUP BY ALL),
@@ -373,10 +371,29 @@ def region_growth(t):
         reg AS MATERIALIZED (SELECT feature, node, dir AS gdir, MIN(s) AS gs, MAX(e) AS ge FROM (SELECT *, SUM(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY feature, node, dir ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g
               FROM (SELECT *, MAX(e) OVER (PARTITION BY feature, node, dir ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp) a) b GROUP BY feature, node, dir, g),
         h2 AS (SELECT st.feature, st.alignment, SUM(CASE WHEN dir * gdir * -1 >= 0 THEN greatest(0, least(e, ge) - greatest(s, gs)) ELSE 0 END) AS same, SUM(greatest(0, least(e, ge) - greatest(s, gs))) AS total
-              FROM st JOIN reg ON st.feature = reg.feature AND st.node = reg.node GROUP BY ALL)
+              FROM st JOIN reg ON st.feature = reg.feature AND st.node = reg.node GROUP BY ALL)"""
+
+
+@query(
+    "g09_range_growth",
+    f"""{RANGE_GROWTH}
        SELECT feature, alignment, 0 AS step FROM first UNION ALL SELECT feature, alignment, 1 FROM h2 WHERE same > 20 AND same > 0.8 * total AND (feature, alignment) NOT IN (SELECT feature, alignment FROM first)""",
 )
 def range_growth(t):
+    """Features on their own: a read may grow several of them."""
+    cand, rows, feats = _growth_rows(t)
+    return growth.range_growth(cand, rows, feats, "r", 3, exclusive=False)
+
+
+@query(
+    "g09_exclusive_growth",
+    f"""{RANGE_GROWTH},
+       second AS MATERIALIZED (SELECT feature, alignment FROM h2 WHERE same > 20 AND same > 0.8 * total AND (feature, alignment) NOT IN (SELECT feature, alignment FROM first)),
+       claims AS (SELECT feature, alignment, 0 AS step FROM first UNION ALL SELECT feature, alignment, 1 FROM second)
+       SELECT feature, alignment, step FROM claims c WHERE step = 0 OR NOT EXISTS (SELECT 1 FROM claims o WHERE o.alignment = c.alignment AND o.feature < c.feature)""",
+)
+def exclusive_growth(t):
+    """Features one after the other: a read grows the first that accepts it."""
     cand, rows, feats = _growth_rows(t)
     return growth.range_growth(cand, rows, feats, "r", 3)
 
