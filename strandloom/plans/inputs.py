@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.operators.scan import placed
+from strandloom.session import ensure_checkpoint_dir
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -83,6 +85,24 @@ SPARK_SPANS = VIEWS["spans"].replace(
 _NAME = re.compile(r"\{(\w+)\}")
 
 
+# Where the numbered lines of a folder lie, by application, file and its state.
+_numbered: dict[tuple, str] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Length and time of a file or folder, so that changed data is numbered anew."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    status, content = files.getFileStatus(where), files.getContentSummary(where)
+    return status.getModificationTime(), content.getLength(), content.getFileCount()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 class Inputs:
     """Tables and views of one data folder."""
 
@@ -99,9 +119,25 @@ class Inputs:
         if name in TABLES:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         if name == "ranked":
-            return placed(self["lineitem"], ROW_ORDER, "ord").withColumn("ord", F.col("ord") - 1)
+            return self._ranked()
         return self.sql(SPARK_SPANS if name == "spans" else VIEWS[name])
 
+    def _ranked(self) -> DataFrame:
+        """Lines with their place in the order of all lines.
+
+        Numbering sorts the table, so it is done once per application and kept as a table in the shared folder; the queries then
+        read the columns that they need from it.
+        """
+        source = f"{self.folder}/lineitem.parquet"
+        key = (self.spark.sparkContext.applicationId, source, _state(self.spark, source))
+        path = _numbered.get(key)
+        if path is None or not _exists(self.spark, f"{path}/_SUCCESS"):
+            path = f"{ensure_checkpoint_dir(self.spark)}/ranked-{uuid.uuid4().hex}"
+            rows = placed(self["lineitem"], ROW_ORDER, "ord").withColumn("ord", F.col("ord") - 1)
+            rows.write.parquet(path)
+            _numbered[key] = path
+        return self.spark.read.parquet(path)
+
     def sql(self, text: str) -> DataFrame:
         """Run SQL over tables and views written ``{name}``."""
         for name in dict.fromkeys(_NAME.findall(text)):

@@ -373,19 +373,20 @@ def gap_bridge(t):
 
 @query(
     "a02_weighted_coverage",
-    """SELECT feature, sample, round(SUM(CASE WHEN mm_total = 0 AND mm_index = 0 THEN 1.0 ELSE 1.0 / mm_total END / flen), 6) AS coverage
+    """SELECT feature, sample, round(SUM(CASE WHEN mm_total = 0 AND mm_index = 0 THEN 1.0 ELSE 1.0 / mm_total END / flen), 12) AS coverage
        FROM {assign} WHERE stage = 0 GROUP BY feature, sample""",
 )
 def weighted_coverage(t):
-    return transfer.feature_coverage(t["assign"]).withColumn("coverage", F.round("coverage", 6))
+    """Twelve digits: sums such as 41 / 128 are ties of the sixth, where the order of summation would decide."""
+    return transfer.feature_coverage(t["assign"]).withColumn("coverage", F.round("coverage", 12))
 
 
 @query(
     "a02_plain_coverage",
-    "SELECT feature, sample, round(SUM(1.0 / flen), 6) AS coverage FROM {assign} WHERE stage = 0 GROUP BY feature, sample",
+    "SELECT feature, sample, round(SUM(1.0 / flen), 12) AS coverage FROM {assign} WHERE stage = 0 GROUP BY feature, sample",
 )
 def plain_coverage(t):
-    return transfer.feature_coverage(t["assign"], weighted=False).withColumn("coverage", F.round("coverage", 6))
+    return transfer.feature_coverage(t["assign"], weighted=False).withColumn("coverage", F.round("coverage", 12))
 
 
 @query(
