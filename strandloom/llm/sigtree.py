@@ -1,14 +1,18 @@
 """Similarity join on word n-grams with signature trees, and the components of its links.
 
-Documents with equal n-gram sets are one node. A node's n-grams are put in hash order; two sets that reach the threshold
-share one of the first ``floor((1 - t) n) + 1`` (its prefix), so nodes meet by prefix n-gram and no link is lost. Links are
-found in two passes:
+Documents with equal n-gram sets are one node. A node's n-grams are put in one order for all nodes: those that a bounded sample of the
+documents shows to be frequent come last, by rising frequency, the others before them by hash. Two sets that reach the threshold
+share one of the first ``floor((1 - t) n) + 1`` (its prefix), so nodes meet by prefix n-gram and no link is lost,
+whatever the order; with this one, few of them meet by a frequent n-gram.
 
-1. Every node of a prefix n-gram is compared with the least node of it. In a dense group this joins nearly all.
-2. Where an n-gram still holds nodes of different components, a signature tree is built over them: leaves are bitmaps of
-   their n-grams, inner entries hold OR-combined bitmaps and size ranges. A dual traversal from the root drops pairs of
-   entries that are of one component, too different in size, or whose largest possible overlap is below the
-   threshold. Pairs of leaves that remain are compared exactly.
+Links are found by a signature tree over the nodes of each shared n-gram: leaves are bitmaps of
+their n-grams, inner entries hold OR-combined bitmaps and size ranges. A dual traversal from the root drops pairs of
+entries that are of one component, too different in size, or whose largest possible overlap is below the
+threshold. Pairs of leaves that remain are compared exactly.
+
+A shortcut comes before the trees for n-grams with more than ``crowd`` nodes, which may be that many copies: every node is compared with the least
+node of it, and what this links is one component, within which a tree gives no pairs. Components are whole;
+``links`` holds the links that join them, not every link inside one.
 
 Comparisons are exact, on whole n-gram sets, and a pair is compared once. An n-gram with more than ``hot`` nodes is cut
 into blocks, and each pair of blocks is a task of its own. The n-gram of a passage in many documents of one slice travels as
@@ -69,13 +73,37 @@ def _identity(grams: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return sums[0], (sums[1] & U64(0xFFFFFFFF00000000)) | size
 
 
-def _prefixes(n: int, percent: int):
+def _frequent(texts: DataFrame, n: int, sample: int, top: int) -> np.ndarray:
+    """The ``top`` n-grams that most of about ``sample`` documents hold, by rising number; those of a single one are left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in arrays.slices(whole, "text", 4 << 20):
+                grams, count = np.unique(ngram_sets(batch.column("text"), n)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([arrays.as_long(grams), pa.array(count, pa.int64())], names=["gram", "n"])
+
+    share = min(1.0, sample / max(texts.count(), 1))
+    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 53)) < int(share * (1 << 53))).select("text")
+    found = some.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "gram").limit(top).collect()
+    return np.array([r.gram for r in reversed(found)], np.int64).view(U64)
+
+
+def _ranks(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """0 for n-grams outside ``frequent``, else their place in it from 1."""
+    if not len(frequent):
+        return np.zeros(len(grams), np.int64)
+    order = np.argsort(frequent)
+    at = np.minimum(np.searchsorted(frequent[order], grams), len(frequent) - 1)
+    return np.where(frequent[order][at] == grams, order[at] + 1, 0)
+
+
+def _prefixes(n: int, percent: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in arrays.slices(whole, "text", 4 << 20):
                 grams, offsets = ngram_sets(batch.column("text"), n)
                 one, two = _identity(grams, offsets)
                 size = np.diff(offsets)
+                grams = grams[np.lexsort((grams, _ranks(grams, frequent), arrays.owner(offsets)))]
                 yield pa.RecordBatch.from_arrays([
                     arrays.as_long(one), arrays.as_long(one), arrays.as_long(two), batch.column("id"), pa.array(np.full(len(size), NODE, np.int32))],
                     names=["key", "one", "two", "id", "state"])
@@ -307,20 +335,24 @@ def _compare(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return left.join(texts.withColumnRenamed("id", "b"), "b").select("a", "b", "grams", "text").mapInArrow(_verify(n, percent), "a long, b long")
 
 
-def links(docs: DataFrame, n: int = 4, percent: int = 85, hot: int = 4000, bits: int = 1 << 14, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def links(
+    docs: DataFrame, n: int = 4, percent: int = 85, hot: int = 4000, bits: int = 1 << 14, id_col: str = "doc_id", text_col: str = "text",
+    crowd: int | None = 32, sample: int = 5_000, top: int = 50_000,
+) -> tuple[DataFrame, DataFrame]:
     """Nodes (one, two, rep: the least id of a set, n) by document, and components of the exact links between sets.
 
-    The components hold the representatives that link with another set.
+    The components hold the representatives that link with another set. ``crowd``: nodes of an n-gram beyond which its least node is tried first (None:
+    never). ``sample`` and ``top`` bound the documents and n-grams from which the order is taken; they change the work, not the result.
     """
     tables = Tables(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     anywhere = F.when(F.col("state").isin(ALONE, LEADER), F.col("key")).otherwise(F.xxhash64("key", "one", "two", "id"))
-    rows = tables.store(texts.mapInArrow(_prefixes(n, percent), _ROWS).repartition(anywhere).sortWithinPartitions("key").mapInArrow(_shared, _ROWS), "rows")
+    rows = tables.store(texts.mapInArrow(_prefixes(n, percent, _frequent(texts, n, sample, top)), _ROWS).repartition(anywhere).sortWithinPartitions("key").mapInArrow(_shared, _ROWS), "rows")
     members = rows.where(F.col("state") == NODE).select("id", "one", "two", F.col("two").bitwiseAND(0xFFFFFFFF).alias("n"))
     nodes = tables.store(members.where("n > 0 and id is not null").groupBy("one", "two", "n").agg(F.min("id").alias("id")), "nodes")
     spots = tables.store(rows.where(F.col("state") != NODE).select("key", "one", "two").distinct().join(nodes, ["one", "two"]).select("key", "id", "n"), "spots")
 
-    least = spots.groupBy("key").agg(F.min(F.struct("id", "n")).alias("least"), F.count("*").alias("size")).where("size > 1")
+    least = spots.groupBy("key").agg(F.min(F.struct("id", "n")).alias("least"), F.count("*").alias("size")).where(F.col("size") > (crowd or 0) if crowd is not None else F.lit(False))
     near = spots.join(tables.store(least, "least"), "key").where("id <> least.id")
     near = near.where(f"100 * least(n, least.n) >= {percent} * greatest(n, least.n)").select(F.col("least.id").alias("a"), F.col("id").alias("b")).distinct()
     first = tables.store(_compare(tables.store(near, "near"), texts, n, percent), "first")
@@ -347,9 +379,11 @@ def links(docs: DataFrame, n: int = 4, percent: int = 85, hot: int = 4000, bits:
     return members.join(nodes.select("one", "two", F.col("id").alias("rep")), ["one", "two"], "left"), groups
 
 
-def similar_components(docs: DataFrame, n: int = 4, percent: int = 85, hot: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_components(
+    docs: DataFrame, n: int = 4, percent: int = 85, hot: int = 4000, id_col: str = "doc_id", text_col: str = "text", crowd: int | None = 32,
+) -> DataFrame:
     """Per document the size of its n-gram set and the least id reachable by links."""
-    members, groups = links(docs, n, percent, hot, id_col=id_col, text_col=text_col)
+    members, groups = links(docs, n, percent, hot, id_col=id_col, text_col=text_col, crowd=crowd)
     return members.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
