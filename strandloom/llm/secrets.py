@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
 Every match of the base patterns is a span. The same value may be a credential of one owner, or an example that many
-have copied: values are hashed and counted by distinct repositories (documents) and owners (sources), distinct pairs
-first, so a value found everywhere is pre-aggregated and never a group. Long mixed strings outside the base spans become
+have copied: values are hashed and counted by distinct repositories (documents) and owners (sources), and one beyond the limit of
+either is an example. Distinct pairs are counted first, so a value found everywhere is pre-aggregated and never a group. Long mixed strings outside the base spans become
 spans of the kind ``mixed`` only if they look random and belong to few owners.
 
 Positions are code points. They come from the lengths of the parts between matches, summed along the text; only rows with a
@@ -43,8 +43,10 @@ BASE = ("assign", "access", "hex")
 
 @dataclass(frozen=True)
 class Ownership:
-    #: A value held by more owners than this is a copied example.
+    #: A value held by more owners than this is a copied example,
     max_owners: int = 2
+    #: and so is one in more repositories, even of one owner.
+    max_repositories: int = 10
     #: A live-looking value has at least so many different characters.
     min_characters: int = 8
     #: An added span needs more of them, and both a letter and a digit.
@@ -88,7 +90,7 @@ def find_spans(docs: DataFrame, rules: Ownership = Ownership(), id_col: str = "d
     held = spans.select("_secret", "_owner", "_id").distinct()
     held = held.groupBy("_secret", "_owner").agg(F.count("*").alias("n")).groupBy("_secret").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
     spans = spans.join(held, "_secret")
-    spans = spans.withColumn("copied", (F.col("owners") > rules.max_owners) | (F.col("_characters") < rules.min_characters))
+    spans = spans.withColumn("copied", (F.col("owners") > rules.max_owners) | (F.col("repositories") > rules.max_repositories) | (F.col("_characters") < rules.min_characters))
 
     base = F.col("kind") < len(BASE)
     text = Window.partitionBy("_id", "_hash", "_owner").orderBy("start", "kind")
@@ -106,19 +108,24 @@ def _listed(spans: str, condition: str) -> str:
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFrame:
-    """``docs`` with the ordered array ``_spans``, null where a text has none; joined on id, text hash and owner."""
+    """Rows of ``docs`` as the struct ``_row``, so that no name of theirs can clash, with the ordered array ``_spans``.
+
+    The array is null where a text has no span. Joined on id, text hash and owner.
+    """
     lists = spans.groupBy("_id", "_hash", "_owner").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "copied", "added"))).alias("_spans"))
     lists = stored(lists, "secret-lists")
-    docs = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    same = docs[id_col].eqNullSafe(lists["_id"]) & (docs["_key"] == lists["_hash"]) & docs[owner_col].cast("string").eqNullSafe(lists["_owner"])
-    return docs.join(lists, same, "left").drop("_id", "_hash", "_owner", "_key")
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id_col).alias("_own_id"), F.col(owner_col).cast("string").alias("_own_owner"),
+        F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_own_hash"))
+    same = rows["_own_id"].eqNullSafe(lists["_id"]) & (rows["_own_hash"] == lists["_hash"]) & rows["_own_owner"].eqNullSafe(lists["_owner"])
+    return rows.join(lists, same, "left").select("_row", "_spans")
 
 
 def secret_spans(docs: DataFrame, rules: Ownership = Ownership(), id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """Counts and span lists of every document."""
     spans = find_spans(docs, rules, id_col, text_col, owner_col)
     none = "cast(array() as array<struct<start:bigint,kind:int,end:bigint,copied:boolean,added:boolean>>)"
-    rows = _with_spans(docs, spans, id_col, text_col, owner_col).select(id_col, F.coalesce("_spans", F.expr(none)).alias("_spans"))
+    rows = _with_spans(docs, spans, id_col, text_col, owner_col).select(F.col("_row")[id_col].alias(id_col), F.coalesce("_spans", F.expr(none)).alias("_spans"))
     count = lambda condition: F.expr(f"cast(size(filter(_spans, s -> {condition})) as bigint)")
     return rows.select(
         id_col, count("s.kind = 0").alias("n_assign"), count("s.kind = 1").alias("n_access"), count("s.kind = 2").alias("n_hex"),
@@ -135,12 +142,13 @@ def redact(docs: DataFrame, rules: Ownership = Ownership(), id_col: str = "doc_i
            concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start as start, greatest(element_at(acc, -1).end, s.end) as end,
                                                              element_at(acc, -1).copied and s.copied as copied))),
            concat(acc, array(struct(s.start as start, s.end as end, s.copied as copied)))))"""
-    name = f"`{text_col}`"
+    name = f"_row.`{text_col}`"
     text = f"""concat(array_join(transform(_merged, (s, i) -> concat(
         substring({name}, cast(if(i = 0, 0, _merged[i - 1].end) as int) + 1, cast(s.start - if(i = 0, 0, _merged[i - 1].end) as int)),
         if(s.copied, '{copied}', '{live}'))), ''), substring({name}, cast(element_at(_merged, -1).end as int) + 1))"""
     rows = rows.withColumn("_merged", F.expr(merged))
-    return rows.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.expr(text))).select(*docs.columns)
+    new = F.when(F.col("_spans").isNull(), F.expr(name)).otherwise(F.expr(text))
+    return rows.select(*(new.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def _oracle_kind(order: int) -> str:
@@ -163,8 +171,8 @@ def oracle() -> str:
     a AS (SELECT doc_id, source, kind, v[i] AS value,
             CAST(list_sum(p[1:i]) + coalesce(list_sum([length(x) FOR x IN f[1:i - 1]]), 0) AS BIGINT) AS s, CAST(length(f[i]) AS BIGINT) AS n FROM m),
     b AS (SELECT doc_id, source, kind, value, s, s + n AS e, len(list_distinct(string_split(value, ''))) AS chars FROM a WHERE length(value) >= ({least})[kind + 1]),
-    h AS (SELECT value, count(DISTINCT source) AS owners FROM b GROUP BY value),
-    c AS (SELECT b.*, owners > {rules.max_owners} OR chars < {rules.min_characters} AS copied FROM b JOIN h USING (value)),
+    h AS (SELECT value, count(DISTINCT source) AS owners, count(DISTINCT doc_id) AS repositories FROM b GROUP BY value),
+    c AS (SELECT b.*, owners > {rules.max_owners} OR repositories > {rules.max_repositories} OR chars < {rules.min_characters} AS copied FROM b JOIN h USING (value)),
     k AS (SELECT *, kind >= {len(BASE)} AS added FROM c WHERE kind < {len(BASE)} OR (NOT copied AND chars >= {rules.min_mixed_characters}
             AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
             AND NOT EXISTS (SELECT 1 FROM c AS o WHERE o.doc_id = c.doc_id AND o.kind < {len(BASE)} AND o.s < c.e AND c.s < o.e)))
