@@ -135,12 +135,17 @@ def oracle() -> str:
         trimmed = f"regexp_replace(lower(coalesce({text}, '')), '^{blank}|{blank}$', '', 'g')"
         return f"CASE WHEN {trimmed} = '' THEN [] ELSE string_split_regex({trimmed}, '{blank}') END"
 
-    picks = lambda t: " UNION ALL ".join(
-        f"SELECT id, i - 1 AS at, {k} AS mask, concat_ws(' ', {', '.join(f't[i + {o}]' for o in m)}) AS seed FROM {t}, unnest(range(1, len(t) - {m[-1] - 1})) AS r(i)" for k, m in enumerate(seeds.masks))
+    def picks(table, own):
+        """Every window under every mask; an item is only looked up under the masks for its length."""
+        last = len(seeds.short) + 1
+        return " UNION ALL ".join(
+            f"SELECT id, i - 1 AS at, {k} AS mask, concat_ws(' ', {', '.join(f't[i + {o}]' for o in m)}) AS seed FROM {table}, unnest(range(1, len(t) - {m[-1] - 1})) AS r(i)" + (f" WHERE least(len(t), {last}) = {n}" if own else "")
+            for k, (n, m) in enumerate(seeds.by_length()))
+
     return f"""
     WITH d AS (SELECT doc_id AS id, {tokens('text')} AS t FROM documents),
     b AS (SELECT item_id AS id, {tokens('text')} AS t FROM benchmark),
-    h AS (SELECT DISTINCT x.id AS doc_id, y.id AS item_id, x.at - y.at AS diagonal FROM ({picks('d')}) x JOIN ({picks('b')}) y ON x.mask = y.mask AND x.seed = y.seed),
+    h AS (SELECT DISTINCT x.id AS doc_id, y.id AS item_id, x.at - y.at AS diagonal FROM ({picks('d', False)}) x JOIN ({picks('b', True)}) y ON x.mask = y.mask AND x.seed = y.seed),
     p AS (SELECT doc_id, item_id, diagonal, d.t AS dt, b.t AS bt, greatest(diagonal, 0) AS s FROM h JOIN d ON d.id = doc_id JOIN b ON b.id = item_id),
     q AS (SELECT *, least(len(dt) - s, len(bt) - (s - diagonal)) AS n, least(len(bt), {seeds.verify}) AS w FROM p),
     e AS (SELECT *, [CAST(dt[s + i] = bt[s - diagonal + i] AS INT) FOR i IN range(1, n + 1)] AS same FROM q),

@@ -5,6 +5,7 @@ import itertools
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -132,6 +133,27 @@ def test_components(tricky, tricky_rows, nothing, hot):
     assert sigtree.similar_components(nothing).count() == 0
 
 
+def test_links_come_through_the_trees(spark, tricky, tricky_rows, folder):
+    """Without the shortcut, and with it for every n-gram, the components are the same; links come out either way."""
+    rows = _documents(spark, folder)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = _components(rows, 4, 85)
+    for crowd in (None, 1):
+        found = sigtree.similar_components(docs, crowd=crowd).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == want
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in sigtree.similar_components(tricky, crowd=crowd).collect()) == _components([r[:2] for r in tricky_rows], 4, 85)
+    rng = random.Random(3)
+    near = [prose(rng, 300).split() for _ in range(3)]
+    texts = [(i, " ".join(near[i % 3][: 300 - i // 3] + [f"tail{i}"])) for i in range(18)]
+    _, groups = sigtree.links(spark.createDataFrame(texts, "doc_id long, text string"), crowd=None)
+    assert {(r.id, r.component) for r in groups.collect()} == {(i, i % 3) for i in range(18)}
+
+
+def test_frequent_grams_come_last():
+    grams, frequent = np.array([3, 5, 8, 9], np.uint64), np.array([9, 3], np.uint64)
+    assert sigtree._ranks(grams, frequent).tolist() == [2, 0, 0, 1] and sigtree._ranks(grams, frequent[:0]).tolist() == [0] * 4
+
+
 def test_chains_of_links(spark):
     """Each text is close to the next only, and a hub text to many that are not close to each other."""
     rng = random.Random(11)
@@ -209,6 +231,24 @@ def test_copied_examples_are_told_apart(spark):
     assert clean[0] == f"see {value} and [example]" and clean[9] == "only [secret]"
 
 
+def test_many_repositories_of_one_owner_are_copies(spark):
+    value = "abcdef0123456789"
+    rows = [(i, f"token = {value}", "one") for i in range(11)] + [(100 + i, "token = fedcba9876543210", "one") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id: (r.n_live, r.n_copied) for r in secrets.secret_spans(docs).collect()}
+    assert found[0] == (0, 1) and found[100] == (1, 0)
+
+
+def test_clashing_names(spark):
+    names = ["_id", "_hash", "_owner", "_key", "_spans", "_merged", "_row", "_own_id", "_text", "start"]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(1, "password: hunter2290 x", "s", *names), (None, None, None, *names)], schema)
+    clean = secrets.redact(docs)
+    assert clean.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text, r._id, r._spans) for r in clean.collect()) == [(0, None, "_id", "_spans"), (1, "[secret] x", "_id", "_spans")]
+    assert secrets.secret_spans(docs).count() == 2
+
+
 def test_redaction_keeps_the_rest(tricky, tricky_rows, nothing):
     found = secrets.redact(tricky)
     assert found.columns == tricky.columns
@@ -281,6 +321,25 @@ def test_every_accepted_overlap_has_a_seed(spark):
     assert {(r.doc_id, r.item_id): (r.diagonal, r.compared, r.equal, r.best) for r in found} == want and len(found) == len(want)
 
 
+def test_short_items_by_sql(spark):
+    """The masks for short items, operator against SQL: items of 1 to 14 tokens, whole, cut and with one token replaced."""
+    rng = random.Random(21)
+    items = [(n, " ".join(f"t{n}w{k}" for k in range(n))) for n in range(1, 15)]
+    docs = []
+    for n, text in items:
+        words = text.split()
+        docs.append((len(docs), f"{prose(rng, 6)} {text} {prose(rng, 5)}"))
+        for k in {0, n // 2, n - 1}:
+            docs.append((len(docs), f"{prose(rng, 3)} {' '.join(words[:k] + ['other'] + words[k + 1:])} {prose(rng, 3)}"))
+    con = duckdb.connect()
+    for name, rows, key in (("documents", docs, "doc_id"), ("benchmark", items, "item_id")):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    found = spaced.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert parity.difference(found, con, spaced.oracle()) is None
+    assert {r.item_id for r in found.collect()} == set(range(1, 15))
+
+
 def test_benchmark_edges(spark, tricky, nothing):
     items = spark.createDataFrame([(1, None), (2, "")], "item_id long, text string")
     assert spaced.contaminated(tricky, items).count() == 0
