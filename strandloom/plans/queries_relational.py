@@ -676,9 +676,27 @@ def node_lengths(t):
     return clusters.node_lengths(t.sql(MEMBERS), t.sql(FEATURE_NODES), haps)
 
 
-@query("a23_frame_lengths")
+# One cluster a row: features that wait, haplotypes in use and placed features; each step places the next one.
+_SPAN = "STRUCT(h VARCHAR, s BIGINT, e BIGINT, d BIGINT)"
+FRAMES = f"""WITH RECURSIVE fe AS (SELECT CAST(s_nationkey AS VARCHAR) AS seed, feature, list({{'h': hap, 's': start, 'e': stop, 'd': dir}}::{_SPAN} ORDER BY hap) AS sp, list(hap ORDER BY hap) AS haps
+      FROM {{supplier_spans}} JOIN {{supplier}} ON feature = 'S|' || CAST(s_suppkey AS VARCHAR) GROUP BY ALL),
+    r AS (SELECT seed, list({{'f': feature, 'haps': haps, 'sp': sp}} ORDER BY feature) AS waiting, []::VARCHAR[] AS touched, []::STRUCT(low BIGINT, high BIGINT, way BIGINT, sp {_SPAN}[])[] AS frame FROM fe GROUP BY seed
+      UNION ALL SELECT seed, list_filter(waiting, lambda x: x.f <> ch.f), list_distinct(list_concat(touched, ch.haps)),
+          CASE WHEN len(frame) = 0 THEN [{{'low': 0, 'high': list_sort(list_transform(ch.sp, lambda q: q.e - q.s))[len(ch.sp) // 2 + 1], 'way': 1, 'sp': ch.sp}}]
+            WHEN len(props) = 0 THEN frame
+            ELSE list_append(frame, {{'low': list_sort(list_transform(props, lambda q: least(q.x, q.y)))[len(props) // 2 + 1], 'high': list_sort(list_transform(props, lambda q: greatest(q.x, q.y)))[len(props) // 2 + 1],
+              'way': list_sort(list_transform(props, lambda q: q.w))[len(props) // 2 + 1], 'sp': ch.sp}}) END
+        FROM (SELECT *, flatten(list_transform(frame, lambda y: list_transform(list_filter(y.sp, lambda b: list_contains(ch.haps, b.h)), lambda b:
+              {{'x': y.low + b.d * y.way * (b.s - list_filter(ch.sp, lambda q: q.h = b.h)[1].s), 'y': y.high + b.d * y.way * (b.e - list_filter(ch.sp, lambda q: q.h = b.h)[1].e),
+                'w': b.d * y.way * list_filter(ch.sp, lambda q: q.h = b.h)[1].d}}))) AS props
+          FROM (SELECT r.*, list_filter(waiting, lambda x: x.f = list_sort(list_transform(waiting, lambda z: {{'c': -len(list_intersect(z.haps, touched)), 'h': -len(z.haps), 'f': z.f}}))[1].f)[1] AS ch
+            FROM r WHERE len(waiting) > 0) a) c)
+    SELECT seed, CAST(list_max(list_transform(frame, lambda q: q.high)) - list_min(list_transform(frame, lambda q: q.low)) + 1 AS DOUBLE) AS length FROM r WHERE len(waiting) = 0"""
+
+
+@query("a23_frame_lengths", FRAMES)
 def frame_lengths(t):
-    """Sequential placement in a common frame has no SQL form; it is tested against literals."""
+    """Features of a cluster placed one after the other in a common frame."""
     spans = _supplier_spans(t)
     members = t["supplier"].select(
         F.col("s_nationkey").cast("string").alias("seed"), F.concat(F.lit("S|"), F.col("s_suppkey")).alias("feature")
