@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.scan import prefix_scan, tile_of
+from strandloom.session import cut_lineage
 
 DEFAULT_TILE = 1 << 16
 
@@ -272,6 +273,8 @@ def range_join(
         return pairs
     if how != "left" or not left_id:
         raise ValueError("how must be 'inner', or 'left' with left_id")
+    # Kept, so that the misses do not compute the pairs a second time.
+    pairs = cut_lineage(pairs)
     missed = left.join(pairs.select(*left_id), list(left_id), "left_anti")
     return pairs.unionByName(missed, allowMissingColumns=True)
 
