@@ -112,7 +112,7 @@ def _prefixes(n: int, percent: int, frequent: np.ndarray):
                 first = first[size[first] > 0]
                 length = (size[first] * (100 - percent)) // 100 + 1
                 row = np.repeat(first, length)
-                at = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(length)[:-1]]), length).astype(np.int64)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length).astype(np.int64)
                 key = grams[offsets[row] + at] if len(row) else np.zeros(0, U64)
                 order = np.lexsort((row, key))
                 ordered = key[order]
@@ -389,11 +389,17 @@ def similar_components(
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the least id of each group of linked or equal documents.
+    """``docs`` with one row of each group of linked or equal texts: the one of least id, a null id being the greatest.
 
-    A null id never leaves; of rows with an equal id one stays.
+    A row is its id and text, so rows of one id with texts that are not linked all stay, and of equal rows one does.
+    Texts without words link with nothing and stay once per id.
     """
-    found = similar_components(docs, n, percent, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("_id"), "component_id")
-    gone = stored(found.where("component_id <> _id").select("_id").distinct(), "duplicates")
-    kept = docs.join(gone, docs[id_col].cast("long") == gone["_id"], "left_anti")
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    number = F.col(id_col).cast("long")
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), number.alias("_id"), text.alias("_text"), F.xxhash64(F.coalesce(number.cast("string"), F.lit("null")), text).alias("_key"))
+    found = similar_components(rows.select("_key", "_text"), n, percent, id_col="_key", text_col="_text").select("_key", "component_id").distinct()
+    found = found.join(rows.select("_key", "_id").distinct(), "_key")
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key")).alias("best"), F.count("*").alias("size")).where("size > 1")
+    gone = stored(found.join(best, "component_id").where("_key <> best._key").select("_key"), "duplicates")
+    return rows.select("_key", "_row").join(gone, "_key", "left_anti").dropDuplicates(["_key"]).select("_row.*")

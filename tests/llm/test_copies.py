@@ -149,6 +149,19 @@ def test_links_come_through_the_trees(spark, tricky, tricky_rows, folder):
     assert {(r.id, r.component) for r in groups.collect()} == {(i, i % 3) for i in range(18)}
 
 
+def test_one_of_each_goes_by_id_and_text(spark):
+    rng = random.Random(8)
+    a, b = prose(rng, 120), prose(rng, 120)
+    rows = [(5, a, "x"), (5, b, "x"), (7, a + " end", "x"), (None, b, "x"), (None, a, "y"), (5, a, "x"), (None, None, "x"), (9, None, "x"), (9, "", "x"), (None, "lone text", "x"), (None, "lone text", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string")
+    kept = sigtree.one_of_each(docs)
+    assert kept.columns == docs.columns
+    found = Counter((r.doc_id, r.text or None) for r in kept.collect())
+    assert found == Counter([(5, a), (5, b), (None, None), (9, None), (None, "lone text")])
+    only_null = spark.createDataFrame([(None, a, "x"), (None, a + " more", "x")], docs.schema)
+    assert sigtree.one_of_each(only_null).count() == 1
+
+
 def test_frequent_grams_come_last():
     grams, frequent = np.array([3, 5, 8, 9], np.uint64), np.array([9, 3], np.uint64)
     assert sigtree._ranks(grams, frequent).tolist() == [2, 0, 0, 1] and sigtree._ranks(grams, frequent[:0]).tolist() == [0] * 4
