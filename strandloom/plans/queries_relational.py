@@ -934,18 +934,18 @@ def shared_haplotypes(t):
     )
 
 
-NODE_HAPS = "SELECT l_partkey AS node, l_returnflag || l_linestatus || CAST(l_linenumber AS STRING) AS hap FROM {lineitem} WHERE l_quantity > 25"
+HAP_ROWS = "SELECT l_partkey AS node, l_returnflag || l_linestatus || CAST(l_linenumber AS STRING) AS hap FROM {lineitem} WHERE l_quantity > 25"
 
 
 @query(
     "u03_haplotype_sets",
-    f"""WITH h AS (SELECT node, list(DISTINCT hap) AS haps FROM ({NODE_HAPS}) x GROUP BY node), p AS (SELECT p_partkey AS a, p_partkey + 1 AS b FROM {{part}}),
+    f"""WITH h AS (SELECT node, list(DISTINCT hap) AS haps FROM ({HAP_ROWS}) x GROUP BY node), p AS (SELECT p_partkey AS a, p_partkey + 1 AS b FROM {{part}}),
       j AS (SELECT a, b, coalesce(x.haps, []) AS x, coalesce(y.haps, []) AS y FROM p LEFT JOIN h x ON x.node = a LEFT JOIN h y ON y.node = b)
       SELECT a, b, CAST(len(list_intersect(x, y)) AS INT) AS shared, CAST(len(list_distinct(list_concat(x, y))) AS INT) AS either, list_has_any(x, y) AS touch FROM j""",
 )
 def haplotype_sets(t):
     """U-03, U-04: haplotypes that a node shares with the next one."""
-    sets = graphprep.haplotype_sets(t.sql(NODE_HAPS), "node", "hap")
+    sets = graphprep.haplotype_sets(t.sql(HAP_ROWS), "node", "hap")
     pairs = t["part"].select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b"))
     return graphprep.shared_haplotypes(pairs, sets, "a", "b", "node")
 
