@@ -133,6 +133,43 @@ def test_components(tricky, tricky_rows, nothing, hot):
     assert sigtree.similar_components(nothing).count() == 0
 
 
+def test_near_copies_do_not_meet_in_all_pairs(spark, monkeypatch):
+    """Copies of one text with up to nine words changed: the pairs compared grow with the copies, not with their square."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(400):
+        words = base[:]
+        for at in rng.sample(range(150), 1 + i % 9):
+            words[at] = f"x{i}_{at}"
+        texts.append((i, " ".join(words)))
+    compared = []
+    real = sigtree._compare
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(sigtree, "_compare", counted)
+    found = {r.doc_id: r.component_id for r in sigtree.similar_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert Counter((i, len({tuple(t.split()[k: k + 4]) for k in range(147)}), found[i]) for i, t in texts) == _components(texts, 4, 85)
+    assert sum(compared) < 10 * len(texts)
+
+
+def test_pairs_leave_the_trees_in_parts():
+    """A group of equal bitmaps and different components: no batch holds all of its pairs."""
+    import pyarrow as pa
+
+    n = 2500
+    raw = np.full(16, (1 << 64) - 1, np.uint64).tobytes()
+    zero = pa.array(np.zeros(n, np.int64))
+    rows = pa.RecordBatch.from_arrays([zero, pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(np.arange(n)), pa.array(np.full(n, 60)), pa.array(np.arange(n)), pa.array([raw] * n)], names=["key", "i", "j", "block", "id", "n", "label", "bits"])
+    out = list(sigtree._trees(85)(iter([rows])))
+    assert sum(b.num_rows for b in out) == n * (n - 1) // 2 and len(out) > 1
+    best = list(sigtree._trees(85, True)(iter([rows])))
+    assert sum(b.num_rows for b in best) <= n
+
+
 def test_links_come_through_the_trees(spark, tricky, tricky_rows, folder):
     """Without the shortcut, and with it for every n-gram, the components are the same; links come out either way."""
     rows = _documents(spark, folder)
