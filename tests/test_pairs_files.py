@@ -232,3 +232,45 @@ def test_whole_run(spark):
     assert {(r.feature, r["count"]) for r in counts.counts.collect()} == {("T|a|1.J", 12)}
     # the frame spans both features: 409 bases from the first start to the last end
     assert {r.flen for r in first.select("flen").collect()} == {410.0}
+
+
+def test_tips_at_one_place_look_up_jumps_once(spark, monkeypatch):
+    """Half-open stretches agree with the rule for every tip; many pairs at one place are one row of the range join."""
+    from strandloom.operators import extract, intervals
+
+    sides, real = [], intervals.range_join
+
+    def seen(left, *rest):
+        sides.append(left.count())
+        return real(left, *rest)
+
+    monkeypatch.setattr(intervals, "range_join", seen)
+    tips = [(i, 1000 + i % 3 * 90, 1000 + i % 3 * 90 + i) for i in range(900)] + [(900, 1500, 1000), (901, None, 5), (902, None, None)]
+    jumps = [(901, 1400), (1000, 1300), (1090, 1555), (1099, 1700), (1100, 1600), (1180, 1180), (1000, 1300)]
+    got = extract.bridged(spark.createDataFrame(tips, "pair long, tip1 long, tip2 long"), spark.createDataFrame(jumps, "from long, to long"))
+
+    def rule(a, b):
+        known = [x for x in (a, b) if x is not None]
+        if not known:
+            return None
+        lo, hi = min(known), max(known)
+        return hi - lo < 100 or any(-100 < j - lo <= 100 and abs(land - hi) + j - lo < 100 for j, land in jumps)
+
+    assert {r.pair: r.bridged for r in got.collect()} == {p: rule(a, b) for p, a, b in tips}
+    assert sides == [3]
+
+
+def test_numbering_leaves_only_the_numbered_lines(spark, folder, monkeypatch):
+    """No unpacked checkpoint of the lines, and no second table of them."""
+    import os
+
+    from strandloom.plans import inputs
+    from strandloom.session import ensure_checkpoint_dir
+
+    monkeypatch.setattr(inputs, "_numbered", {})
+    at = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(at))
+    rows = inputs.Inputs(spark, folder)["ranked"]
+    assert sorted(r.ord for r in rows.select("ord").collect()) == list(range(rows.count()))
+    made = set(os.listdir(at)) - before
+    assert len(made) == 1 and made.pop().startswith("ranked-")
