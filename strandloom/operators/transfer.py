@@ -71,14 +71,18 @@ def lift_ids(
     """
     kept = [c for c in queries.columns if c != ids]
     asked = queries.select(*kept, F.explode(F.split(ids, ":")).alias("id"))
-    placed = asked.join(regions.filter("places <> 'NA'"), "id")
+    # Places are taken apart once per id, not once per query that names it.
     pattern = r"^(\w+):(\d+)-(\d+):([+-])$"
-    parsed = placed.select(*kept, F.explode(F.split("places", ";")).alias("p")).select(
-        *kept,
-        F.regexp_extract("p", pattern, 1).alias("chrom"),
-        F.regexp_extract("p", pattern, 2).cast("long").alias("start"),
-        F.regexp_extract("p", pattern, 3).cast("long").alias("end"),
-        (F.regexp_extract("p", pattern, 4) if stranded else F.lit(".")).alias("strand"),
+    places = regions.filter("places <> 'NA'").select("id", F.explode(F.split("places", ";")).alias("_p")).select(
+        "id",
+        F.regexp_extract("_p", pattern, 1).alias("_chrom"),
+        F.regexp_extract("_p", pattern, 2).alias("_from"),
+        F.regexp_extract("_p", pattern, 3).alias("_to"),
+        (F.regexp_extract("_p", pattern, 4) if stranded else F.lit(".")).alias("_strand"),
+    )
+    parsed = asked.join(places, "id").select(
+        *kept, F.col("_chrom").alias("chrom"), F.col("_from").cast("long").alias("start"), F.col("_to").cast("long").alias("end"),
+        F.col("_strand").alias("strand"),
     )
     # All regions of a query come from the id list in one input row.
     spans = merged_spans(parsed, [*kept, "chrom", "strand"], "start", "end", max_gap, tile_width=None)
