@@ -146,17 +146,14 @@ def render_completed(steps: Column) -> Column:
 def last_per_node(steps: Column) -> Column:
     """Keep the last step of every node, as a map keyed by node would."""
 
-    def latest(p):
-        nodes = p["nodes"]
-        return F.filter(
-            p["steps"],
-            lambda s, i: ~F.array_contains(F.slice(nodes, i + 2, F.size(nodes)), s["node"]),
-        )
-
-    nodes = F.transform(steps, lambda s: s["node"])
-    kept = let(F.struct(steps.alias("steps"), nodes.alias("nodes")), latest)
-    repeated = F.size(F.array_distinct(nodes)) < F.size(nodes)
-    return F.when(repeated, kept).otherwise(steps)
+    def kept(every):
+        def latest(nodes):
+            last = F.filter(every, lambda s, i: ~F.array_contains(F.slice(nodes, i + 2, F.size(nodes)), s["node"]))
+            return F.when(F.size(F.array_distinct(nodes)) < F.size(nodes), last).otherwise(every)
+
+        return let(F.transform(every, lambda s: s["node"]), latest)
+
+    return let(steps, kept)
 
 
 def span_overlap(length: Column, head_a: Column, tail_a: Column, head_b: Column, tail_b: Column) -> Column:

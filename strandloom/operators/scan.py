@@ -115,20 +115,31 @@ def numbered(
     return counted.withColumn(name, (F.col(name) + 1).cast("long")).drop("_one")
 
 
+def placing(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """``df`` sorted along a total ``order`` with ``_at``, the partition and the row's number in it; to be stored before use."""
+    return df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+
+
+def part_offsets(rows: DataFrame) -> DataFrame:
+    """Rows before each partition of :func:`placing`: at most as many rows as the sort had tasks."""
+    sizes = rows.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+
+
+def joined_places(rows: DataFrame, offsets: DataFrame, name: str = "n") -> DataFrame:
+    """Rows of :func:`placing` with their number from 1 in the whole input."""
+    numbered_ = rows.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(offsets), "_part")
+    return numbered_.select(*(c for c in rows.columns if c != "_at"), (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).alias(name))
+
+
 def placed(df: DataFrame, order: Sequence[Column | str], name: str = "n") -> DataFrame:
     """Row number (from 1) along a total ``order`` over the whole input.
 
     Rows are dealt by range and numbered in their partition; one row per partition carries the offsets.
     """
-    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = written(sorted_.withColumn("_at", F.monotonically_increasing_id()), "placed")
-    part = F.shiftright("_at", 33).alias("_part")
-    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    # One row per partition of the sort: at most as many as there are tasks.
-    numbered_ = rows.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(offsets), "_part")
-    return numbered_.select(*df.columns, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).alias(name))
+    rows = written(placing(df, order), "placed")
+    return joined_places(rows, part_offsets(rows), name)
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float | None], tile_rows: int = 4096) -> DataFrame:

@@ -15,8 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.operators.scan import placed
-from strandloom.session import discard, ensure_checkpoint_dir
+from strandloom.operators.scan import joined_places, part_offsets, placing
+from strandloom.session import stored
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -86,7 +86,7 @@ _NAME = re.compile(r"\{(\w+)\}")
 
 
 # Where the numbered lines of a folder lie, by application, file and its state.
-_numbered: dict[tuple, str] = {}
+_numbered: dict[tuple, tuple[str, str]] = {}
 
 
 def _state(spark: SparkSession, path: str) -> tuple:
@@ -125,19 +125,18 @@ class Inputs:
     def _ranked(self) -> DataFrame:
         """Lines with their place in the order of all lines.
 
-        Numbering sorts the table, so it is done once per application and kept as a table in the shared folder; the queries then
-        read the columns that they need from it.
+        Numbering sorts the table, so it is done once per application and kept in the shared folder, as the sorted lines and one
+        offset per partition; the queries then read the columns that they need.
         """
         source = f"{self.folder}/lineitem.parquet"
         key = (self.spark.sparkContext.applicationId, source, _state(self.spark, source))
-        path = _numbered.get(key)
-        if path is None or not _exists(self.spark, f"{path}/_SUCCESS"):
-            path = f"{ensure_checkpoint_dir(self.spark)}/ranked-{uuid.uuid4().hex}"
-            rows = placed(self["lineitem"], ROW_ORDER, "ord").withColumn("ord", F.col("ord") - 1)
-            rows.write.parquet(path)
-            discard(rows)
-            _numbered[key] = path
-        return self.spark.read.parquet(path)
+        paths = _numbered.get(key)
+        if paths is None or not all(_exists(self.spark, f"{path}/_SUCCESS") for path in paths):
+            name = f"ranked-{uuid.uuid4().hex}"
+            rows = stored(placing(self["lineitem"], ROW_ORDER), f"{name}/lines")
+            paths = _numbered[key] = rows, stored(part_offsets(self.spark.read.parquet(rows)), f"{name}/offsets")
+        lines, offsets = (self.spark.read.parquet(path) for path in paths)
+        return joined_places(lines, offsets, "ord").withColumn("ord", F.col("ord") - 1)
 
     def sql(self, text: str) -> DataFrame:
         """Run SQL over tables and views written ``{name}``."""

@@ -51,3 +51,32 @@ def test_fewest_hops_within_every_budget(spark):
         return sorted((r.src, r.dst, r.budget, *r.r) for r in rows.collect())
 
     assert first(True) == first(False) and len(first(True)) > 10
+
+
+def test_a_path_is_read_once(spark):
+    """The steps of a path are parsed once per row, whatever is asked of them."""
+    from strandloom.functions import paths as pt
+
+    df = spark.createDataFrame([("5,10,0,0;-6,10,1,2;5,12,3,4",), ("7,9,0,1",), ("*",), (None,)], "path string")
+    once = df.select(pt.last_per_node(pt.parse_steps(F.col("path"))).alias("steps"))
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") <= 2
+    got = [None if r.steps is None else [tuple(s) for s in r.steps] for r in once.collect()]
+    assert got == [[(6, -1, 10, 1, 2), (5, 1, 12, 3, 4)], [(7, 1, 9, 0, 1)], None, None]
+
+
+def test_lines_are_numbered_with_one_writing(spark, tmp_path, monkeypatch):
+    """The sorted lines are kept as they were dealt; their places come from one offset per partition."""
+    from strandloom.plans import inputs
+
+    monkeypatch.setattr(inputs, "_numbered", {})
+    made, kept = [], inputs.stored
+    monkeypatch.setattr(inputs, "stored", lambda df, name="rows": made.append((name, df.columns)) or kept(df, name))
+    rows = [(float(p % 5), o, 1, o % 7, o % 3, 1.0, 0.0, 0.0, "N", "O") for o, p in enumerate(random.Random(2).sample(range(300), 300))]
+    rows += rows[:20]
+    names = "l_extendedprice double, l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, names).withColumn("l_shipdate", F.timestamp_seconds("l_orderkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = inputs.Inputs(spark, str(tmp_path))["ranked"].orderBy("ord").collect()
+    assert [r.ord for r in got] == list(range(320))
+    assert [(r.l_extendedprice, r.l_orderkey) for r in got] == sorted((r[0], r[1]) for r in rows)
+    assert ["l_orderkey" in columns for _, columns in made] == [True, False]
