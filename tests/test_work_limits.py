@@ -80,3 +80,73 @@ def test_lines_are_numbered_with_one_writing(spark, tmp_path, monkeypatch):
     assert [r.ord for r in got] == list(range(320))
     assert [(r.l_extendedprice, r.l_orderkey) for r in got] == sorted((r[0], r[1]) for r in rows)
     assert ["l_orderkey" in columns for _, columns in made] == [True, False]
+
+
+def _plain_components(edges):
+    name = {v: v for e in edges for v in e}
+    while True:
+        before = dict(name)
+        for u, v in edges:
+            name[u] = name[v] = min(name[u], name[v])
+        if name == before:
+            return name
+
+
+def test_components_shrink_with_every_round(spark, monkeypatch):
+    """Paths, stars, loops and repeats; the edges of all rounds together stay a few times the input."""
+    from strandloom.operators import components
+
+    rng = random.Random(9)
+    order = rng.sample(range(1000), 1000)
+    edges = [*zip(order[:600], order[1:600]), *((order[600], v) for v in order[601:800]), *((v, v) for v in order[800:810])]
+    edges += [(rng.choice(order[820:]), rng.choice(order[820:])) for _ in range(120)] + [(order[3], order[2])] * 3
+    sizes, kept = [], components.written
+
+    def counted(df, name="rows"):
+        out = kept(df, name)
+        if name == "edges":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "written", counted)
+    rows = components.connected_components(spark.createDataFrame([*edges, (None, 5), (None, None)], "a long, b long"), "a", "b").collect()
+    assert len(rows) == len({r.vertex for r in rows})
+    assert {r.vertex: r.component for r in rows} == _plain_components(edges)
+    assert sum(sizes) < 3 * len(edges)
+
+
+def test_read_groups_have_no_vertex_for_a_read(spark, monkeypatch):
+    from strandloom.operators import components
+
+    seen, kept = [], components.connected_components
+    monkeypatch.setattr(components, "connected_components", lambda edges, a, b: seen.append(edges.count()) or kept(edges, a, b))
+    rows = [("f1", 1), ("f2", 1), ("f2", 2), ("f3", 2), ("f3", 2), ("g1", 3), ("h10", 4), ("h9", 4), (None, 5), ("k", None)]
+    got = components.read_feature_groups(spark.createDataFrame(rows, "feature string, read long")).collect()
+    assert {(r.feature, r.component) for r in got} == {("f1", "f1"), ("f2", "f1"), ("f3", "f1"), ("g1", "g1"), ("h10", "h10"), ("h9", "h10")}
+    assert len(got) == 6 and seen == [7]
+
+
+def test_closure_meets_islands_once(spark, monkeypatch):
+    """Intervals find their island by their start; only distinct ids per island go into the range join."""
+    from strandloom.operators import growth, intervals
+
+    rows = [(10, 14, [31]), (12, 18, [31]), (13, 18, [31]), (18, 20, []), (30, 33, [52]), (50, 55, []), (70, 71, [200]), (90, 90, [31]), (None, 4, [31]), (95, 99, None)]
+    joined, kept = [], intervals.range_join
+    monkeypatch.setattr(intervals, "range_join", lambda left, *args, **kw: joined.append(left.count()) or kept(left, *args, **kw))
+    got = growth.interval_closure(spark.createDataFrame(rows, "s long, e long, branches array<long>"), "s", "e", "branches")
+    found = {(r.region_set, r.region_start, r.region_end, r.members) for r in got.filter("region_start IS NOT NULL").collect()}
+    assert found == {(10, 10, 20, 4), (10, 30, 33, 1), (10, 50, 55, 1), (70, 70, 71, 1), (90, 90, 90, 1), (95, 95, 99, 1)}
+    assert joined == [3]
+
+
+def test_range_join_without_levels_that_meet_nothing(spark):
+    """Points emit rows only at the levels of the spans; pairs stay those of the plain condition."""
+    from strandloom.operators import intervals
+
+    rng = random.Random(1)
+    points = [(i, p, p + 1) for i, p in enumerate(rng.sample(range(2000), 200))]
+    spans = [(i, s, s + rng.choice([20, 30, 300])) for i, s in enumerate(rng.sample(range(2000), 60))]
+    left, right = spark.createDataFrame(points, "p int, a long, b long"), spark.createDataFrame(spans, "q int, s long, e long")
+    got = sorted((r.p, r.q) for r in intervals.range_join(left, right, [], ("a", "b"), ("s", "e")).select("p", "q").collect())
+    assert got == sorted((p, q) for p, a, b in points for q, s, e in spans if a < e and s < b)
+    assert intervals._binned(left, "a", "b", [3, 5]).count() == 2 * len(points)
