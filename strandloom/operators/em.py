@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.evidence import scaled_weight
-from strandloom.session import cut_lineage
+from strandloom.session import discard, written
 
 
 @dataclass
@@ -26,8 +26,9 @@ def read_weights(scores: DataFrame, scale: float = 100.0) -> DataFrame:
     Copies of a row are counted before anything is shuffled by read. Scores must be positive.
     """
     rows = scores.groupBy("read", "feature", "score").agg(F.count(F.lit(1)).alias("copies"))
-    best = scores.groupBy("read").agg(F.max("score").alias("best"))
-    weighed = rows.join(best, "read").withColumn("q", scaled_weight(F.col("score"), F.col("best"), scale))
+    spread = rows.filter("read IS NOT NULL").repartition(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")), "read")
+    best = F.max("score").over(Window.partitionBy("read"))
+    weighed = spread.withColumn("best", best).withColumn("q", scaled_weight(F.col("score"), F.col("best"), scale))
     return weighed.groupBy("read", "feature").agg(F.sum(F.col("copies") * F.col("q")).alias("weight"))
 
 
@@ -79,16 +80,16 @@ def em_counts(
     """
     weights = read_weights(scores, scale).persist()
     unique, members = read_classes(weights)
-    members = members.repartition("read_class").sortWithinPartitions("read_class").persist()
+    # The join leaves the rows dealt by read, so a round needs no other dealing by class.
+    members = members.sortWithinPartitions("read_class").persist()
     features = weights.select("feature").distinct().join(unique, "feature", "left").select(
         "feature", F.coalesce("unique_reads", F.lit(0)).cast("double").alias("unique_reads")
     )
     k = features.count()
     reads = weights.select("read").distinct().count()
     start = reads / k if k else 0.0
-    state = cut_lineage(
-        features.withColumns({"total": F.lit(start), "shared": F.lit(1.0), "moved": F.lit(0.0)})
-    )
+    # A stored table has a size that the planner knows; of a checkpoint it knows none, and would move the members by feature and back.
+    state = written(features.withColumns({"total": F.lit(start), "shared": F.lit(1.0), "moved": F.lit(0.0)}), "state")
     if k == 0:
         return EmCounts(state.select("feature", F.lit(0).cast("long").alias("count"), F.col("total").alias("abundance")), 0, True)
 
@@ -112,9 +113,8 @@ def em_counts(
             F.coalesce("new_shared", F.lit(0.0)).alias("shared"),
             F.col("total").alias("_old"),
         )
-        state = cut_lineage(
-            nxt.withColumn("moved", F.abs(F.col("total") - F.col("_old"))).drop("_old")
-        )
+        before, state = state, written(nxt.withColumn("moved", F.abs(F.col("total") - F.col("_old"))).drop("_old"), "state")
+        discard(before)
         moved = state.agg(F.sum("moved")).first()[0] or 0.0
         converged = moved * k / reads < tol
     members.unpersist()

@@ -150,3 +150,24 @@ def test_range_join_without_levels_that_meet_nothing(spark):
     got = sorted((r.p, r.q) for r in intervals.range_join(left, right, [], ("a", "b"), ("s", "e")).select("p", "q").collect())
     assert got == sorted((p, q) for p, a, b in points for q, s, e in spans if a < e and s < b)
     assert intervals._binned(left, "a", "b", [3, 5]).count() == 2 * len(points)
+
+
+def test_abundance_rounds_move_no_members(spark):
+    """The state of the model is small and known to be; the members stay dealt by read in every round."""
+    from strandloom.operators import em
+
+    rows = [(f"f{(r * 7 + k) % 40}", f"r{r}", float(5 + (r + k) % 3)) for r in range(400) for k in range(3)]
+    scores = spark.createDataFrame(rows, "feature string, read string, score double")
+    plans, kept = [], em.written
+
+    def noted(df, name="rows"):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return kept(df, name)
+
+    em.written, result = noted, None
+    try:
+        result = em.em_counts(scores, max_rounds=2)
+    finally:
+        em.written = kept
+    assert len(plans) == 3 and all("BroadcastHashJoin [feature" in p for p in plans[1:])
+    assert abs(sum(r.abundance for r in result.counts.collect()) - 400) < 1e-6
