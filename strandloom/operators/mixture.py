@@ -92,12 +92,17 @@ def _moments(probs: np.ndarray, means: np.ndarray, covs: np.ndarray):
         for batch in batches:
             for raw in batch.column(0).to_pylist():
                 x = np.frombuffer(raw).reshape(-1, dim)
-                away = x[:, None, :] - means
-                parts = probs * np.exp(norm - 0.5 * np.einsum("nki,kij,nkj->nk", away, inverse, away))
-                whole = parts.sum(1, keepdims=True)
+                # One component at a time, so that all products are of two matrices.
+                parts = np.empty((k, len(x)))
+                for c in range(k):
+                    away = x - means[c]
+                    parts[c] = np.einsum("ni,ni->n", away @ inverse[c], away)
+                parts = probs[:, None] * np.exp(norm[:, None] - 0.5 * parts)
+                whole = parts.sum(0)
                 r = parts / whole
                 total[0] += np.log(whole).sum()
-                total[1:] += np.concatenate([r.sum(0), (r.T @ x).reshape(-1), np.einsum("nk,ni,nj->kij", r, x, x).reshape(-1)])
+                second = [(x.T * r[c]) @ x for c in range(k)]
+                total[1:] += np.concatenate([r.sum(1), (r @ x).reshape(-1), np.reshape(second, -1)])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
     return run

@@ -171,3 +171,29 @@ def test_abundance_rounds_move_no_members(spark):
         em.written = kept
     assert len(plans) == 3 and all("BroadcastHashJoin [feature" in p for p in plans[1:])
     assert abs(sum(r.abundance for r in result.counts.collect()) - 400) < 1e-6
+
+
+def test_mixture_moments_are_products_of_two_matrices(monkeypatch):
+    """The sums of a partition equal those of a plain loop, without a product over three arrays at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from strandloom.operators import mixture
+
+    rng = np.random.default_rng(3)
+    x, probs, means = rng.normal(size=(50, 2)) * 5, np.array([0.3, 0.7]), np.array([[0.0, 1.0], [2.0, -1.0]])
+    covs = np.array([[[20.0, 2.0], [2.0, 30.0]], [[25.0, 0.0], [0.0, 9.0]]])
+    wide, kept = [], np.einsum
+    monkeypatch.setattr(np, "einsum", lambda how, *args, **kw: wide.append(len(args)) or kept(how, *args, **kw))
+    batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["block"])
+    out = np.frombuffer(next(iter(mixture._moments(probs, means, covs)(iter([batch])))).column(0)[0].as_py())
+    want = np.zeros(1 + 2 + 4 + 8)
+    for row in x:
+        parts = [p * np.exp(-0.5 * (row - m) @ np.linalg.inv(c) @ (row - m)) / (2 * np.pi * np.sqrt(np.linalg.det(c))) for p, m, c in zip(probs, means, covs)]
+        want[0] += np.log(sum(parts))
+        for k in range(2):
+            r = parts[k] / sum(parts)
+            want[1 + k] += r
+            want[3 + 2 * k: 5 + 2 * k] += r * row
+            want[7 + 4 * k: 11 + 4 * k] += r * np.outer(row, row).reshape(-1)
+    assert np.allclose(out, want, rtol=1e-10) and max(wide, default=0) <= 2
