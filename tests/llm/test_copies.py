@@ -186,6 +186,13 @@ def test_links_come_through_the_trees(spark, tricky, tricky_rows, folder):
     assert {(r.id, r.component) for r in groups.collect()} == {(i, i % 3) for i in range(18)}
 
 
+def test_links_join_components_by_name(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (7, 7), (9, 7), (30, 30), (31, 30)], "id long, component long")
+    more = spark.createDataFrame([(2, 9), (20, 21), (9, 21), (40, 41), (30, 31)], "a long, b long")
+    got = sorted((r.id, r.component) for r in sigtree._merged(labels, more).collect())
+    assert got == [(1, 1), (2, 1), (7, 1), (9, 1), (20, 1), (21, 1), (30, 30), (31, 30), (40, 40), (41, 40)]
+
+
 def test_one_of_each_goes_by_id_and_text(spark):
     rng = random.Random(8)
     a, b = prose(rng, 120), prose(rng, 120)

@@ -197,3 +197,29 @@ def test_mixture_moments_are_products_of_two_matrices(monkeypatch):
             want[3 + 2 * k: 5 + 2 * k] += r * row
             want[7 + 4 * k: 11 + 4 * k] += r * np.outer(row, row).reshape(-1)
     assert np.allclose(out, want, rtol=1e-10) and max(wide, default=0) <= 2
+
+
+def test_small_components_take_few_tasks(spark, monkeypatch):
+    """With many shuffle partitions and few edges a round writes one file, and a star around its least vertex takes one round."""
+    from strandloom.operators import components
+
+    files, kept = [], components.written
+
+    def noted(df, name="rows"):
+        out = kept(df, name)
+        files.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(components, "written", noted)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        edges = [(v, 1) for v in range(2, 200)] + [(500, 501)]
+        rows = components.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.vertex: r.component for r in rows} == {v: 1 for v in range(1, 200)} | {500: 500, 501: 500}
+    assert [n for name, n in files if name in ("moves", "components")] == [1, 1]
