@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.scan import numbered, tile_of
-from strandloom.session import cut_lineage
+from strandloom.session import discard, written
 
 CHAIN = ["chrom", "start", "end", "name", "element", "label", "strand"]
 
@@ -62,24 +62,33 @@ def _fitting(elements: DataFrame, families: DataFrame) -> DataFrame:
     return pairs.select("name", "other").distinct().withColumn("fits", F.lit(True))
 
 
-def _beside(acting: DataFrame, elements: DataFrame) -> DataFrame:
-    """Each acting element with itself (step 0) and the ``window`` elements before and after it on the chromosome."""
-    wanted = acting.select("chrom", "place", "element", "name", "start", "end", "window", F.explode(F.expr("sequence(-window, window)")).alias("step"))
+def _beside(acting: DataFrame, elements: DataFrame, windows: list[int]) -> DataFrame:
+    """Each acting element with itself (step 0) and the ``window`` elements before and after it on the chromosome.
+
+    Places are dealt in blocks of four windows. An acting element goes to its own block only, the others to the one or two
+    blocks that they are in reach of, for each of the ``windows`` in use; so rows travel once or twice and not once per place looked at,
+    and what stands beside an element is in one task.
+    """
+    block = 4 * F.col("window")
+    own = [c for c in ("chrom", "place", "element", "name", "start", "end", "window", "several") if c in acting.columns]
+    wanted = acting.select(*own, F.floor(F.col("place") / block).alias("_block"))
     other = elements.select(
         "chrom", F.col("place").alias("_near"), F.col("element").alias("other_element"), F.col("name").alias("other"),
-        F.col("start").alias("other_start"), F.col("end").alias("other_end"),
+        F.col("start").alias("other_start"), F.col("end").alias("other_end"), "taker", F.explode(F.array(*map(F.lit, windows))).alias("window"),
     )
-    return wanted.withColumn("_near", F.col("place") + F.col("step")).join(other, ["chrom", "_near"])
+    reached = F.sequence(F.floor((F.col("_near") - F.col("window")) / block), F.floor((F.col("_near") + F.col("window")) / block))
+    met = wanted.join(other.withColumn("_block", F.explode(reached)), ["chrom", "window", "_block"])
+    return met.withColumn("step", F.col("_near") - F.col("place")).where(F.abs("step") <= F.col("window"))
 
 
-def _taken(rows: DataFrame, max_gap: int) -> DataFrame:
+def _taken(rows: DataFrame, max_gap: int, keys: list[str]) -> DataFrame:
     """The rows of ``_beside`` that each acting element takes in, itself included; ``more`` marks a side that goes on.
 
-    ``rows`` has ``free`` and ``fits``. The gap before a neighbour runs from the far edge of the last one taken in
+    ``rows`` has ``free`` and ``fits``; ``keys`` tell the acting elements apart. The gap before a neighbour runs from the far edge of the last one taken in
     (the element's own edge at first); a free neighbour with a gap that is negative or too wide ends the side.
     """
     side = F.signum("step")
-    order = Window.partitionBy("element", side).orderBy(F.abs("step"))
+    order = Window.partitionBy(*keys, side).orderBy(F.abs("step"))
     right = F.col("step") > 0
     near = F.when(right, F.col("other_start")).otherwise(-F.col("other_end"))
     far = F.when(right, F.col("other_end")).otherwise(-F.col("other_start"))
@@ -90,7 +99,7 @@ def _taken(rows: DataFrame, max_gap: int) -> DataFrame:
     rows = rows.withColumn("_ends", F.col("free") & (F.col("step") != 0) & ((gap < 0) | (gap > max_gap)))
     rows = rows.withColumn("_open", ~F.max("_ends").over(order))
     return rows.select(
-        "chrom", "element", "other_element", "other_start", "other_end", ((F.col("step") == 0) | (F.col("_open") & joins)).alias("taken"),
+        "element", "other_element", "other_start", "other_end", ((F.col("step") == 0) | (F.col("_open") & joins)).alias("taken"),
         (F.col("_open") & (F.abs("step") == F.col("window"))).alias("more"),
     ).where("taken or more")
 
@@ -108,32 +117,42 @@ def chain_repeats(elements: DataFrame, families: DataFrame, max_gap: int = 500,
     them, so rows grow with what is taken in and not with the square of a crowd. Elements without a name or chromosome
     fit nothing and keep to themselves.
     """
-    known = numbered(elements.select(*CHAIN), ["chrom"], ["element"], tile_of("element", 1 << 16), "place")
-    known = cut_lineage(known)
-    fits = cut_lineage(_fitting(known, families))
+    known = written(numbered(elements.select(*CHAIN), ["chrom"], ["element"], tile_of("element", 1 << 16), "place"), "elements")
+    # An id that comes once has all its rows in its block, where they stay; those of a repeated id are brought together.
+    repeated = known.groupBy("element").count().where("count > 1 OR element IS NULL").select(F.col("element").alias("_id"), F.lit(True).alias("several"))
+    apart = not repeated.isEmpty()
+    if apart:
+        known = known.join(repeated, F.col("element").eqNullSafe(F.col("_id")), "left").drop("_id")
+        known = written(known.withColumn("several", F.coalesce("several", F.lit(False))), "elements")
+    fits = written(_fitting(known, families), "fits")
     labelled = known.where("label <> 'PART'").withColumn("window", F.lit(window))
-    before = None
+    windows, before, wide = [window], None, False
     while True:
         if before is None:
-            acting, takers = labelled, known.select(F.col("element").alias("other_element"), F.lit(None).cast("long").alias("taker")).limit(0)
+            acting, others = labelled, known.withColumn("taker", F.lit(None).cast("long"))
         else:
-            takers = before.where("taken").groupBy("other_element").agg(F.min("element").alias("taker"))
-            wider = before.where("more").select("element", F.lit(True).alias("_wider")).distinct()
-            acting = labelled.join(wider, "element", "left").withColumn("window", F.when(F.col("_wider"), F.col("window") * 4).otherwise(F.col("window"))).drop("_wider")
-            labelled = acting = cut_lineage(acting)
-            taken = takers.select(F.col("other_element").alias("element"), F.col("taker").alias("_own"))
-            acting = acting.join(taken, "element", "left").where(F.coalesce(F.col("_own") >= F.col("element"), F.lit(True)))
-        rows = _beside(acting, known).join(fits, ["name", "other"], "left").join(takers, "other_element", "left")
+            if wide:
+                wider = before.where("more").select("element", F.lit(True).alias("_wider")).distinct()
+                grown = labelled.join(wider, "element", "left").withColumn("window", F.when(F.col("_wider"), F.col("window") * 4).otherwise(F.col("window")))
+                labelled = written(grown.drop("_wider"), "labelled")
+                windows = [r["window"] for r in labelled.select("window").distinct().collect()]
+            takers = before.where("taken").groupBy(F.col("other_element").alias("element")).agg(F.min("element").alias("taker"))
+            others = known.join(takers, "element", "left")
+            acting = labelled.join(takers, "element", "left").where(F.coalesce(F.col("taker") >= F.col("element"), F.lit(True)))
+        rows = _beside(acting, others, windows).join(fits, ["name", "other"], "left")
         rows = rows.withColumns({"fits": F.coalesce("fits", F.lit(False)), "free": F.coalesce(F.col("taker") >= F.col("element"), F.lit(True))})
-        now = cut_lineage(_taken(rows, max_gap))
-        if before is not None and now.where("more").isEmpty():
+        single = _taken(rows.where("NOT several") if apart else rows, max_gap, ["chrom", "window", "_block", "element"])
+        now = written(single.union(_taken(rows.where("several"), max_gap, ["element"])) if apart else single, "taken")
+        wide = not now.where("more").isEmpty()
+        if before is not None:
             key = ["element", "other_element"]
             old, new = before.where("taken").select(*key), now.where("taken").select(*key)
-            if old.count() == new.count() and new.join(old, key, "left_anti").isEmpty():
+            if not wide and old.count() == new.count() and new.join(old, key, "left_anti").isEmpty():
                 break
+            discard(before)
         before = now
     spans = now.where("taken").groupBy("element").agg(F.min("other_start").alias("start"), F.max("other_end").alias("end"))
-    return known.drop("start", "end", "place").join(spans, "element").select(*CHAIN)
+    return known.select("chrom", "name", "element", "label", "strand").join(spans, "element").select(*CHAIN)
 
 
 def _drawn(side: str, extension: int, seed: int):
