@@ -94,7 +94,9 @@ def prefix_scan(
             merged[name] = F.greatest(F.col(v), F.col(c))
         elif kind == "previous":
             local = F.lag(F.struct(column)).over(inside)
-            totals.append(F.max_by(F.struct(column), F.struct(*order)).alias(t))
+            # The last of the values by which rows are ordered is the largest one: a plain maximum needs no sort.
+            last = F.struct(F.max(column).alias(column)) if order == [column] else F.max_by(F.struct(column), F.struct(*order))
+            totals.append(last.alias(t))
             merged[name] = F.coalesce(F.col(v), F.col(c))[column]
         else:
             raise ValueError(f"unknown prefix aggregate {kind!r}")
@@ -103,7 +105,8 @@ def prefix_scan(
     summary = rows.groupBy(*keys, TILE).agg(*totals)
     kinds = {name: kind for name, (kind, _) in outputs.items()}
     carry = _carry(summary, keys, kinds)
-    scanned = rows.join(carry, [*keys, TILE], "left").withColumns(locals_)
+    # The windows come first: their rows are sorted by key and tile, so the join does not sort them once more.
+    scanned = rows.withColumns(locals_).join(carry, [*keys, TILE], "left")
     return scanned.withColumns(merged).select(*df.columns, *outputs)
 
 

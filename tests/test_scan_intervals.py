@@ -143,3 +143,16 @@ def test_places_over_the_whole_input(spark):
     rows = sorted(scan.placed(df, ["g", "id"], "n").collect(), key=lambda x: x.n)
     assert [x.n for x in rows] == list(range(1, 1001)) and [(x.g, x.id) for x in rows] == sorted((x.g, x.id) for x in rows)
     assert scan.placed(df.limit(0), ["g", "id"], "n").count() == 0
+
+
+def test_scan_sorts_rows_once(spark):
+    """The windows of a scan and the join with the tiles before share one sort, and the last position of a tile is a plain maximum."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([("a", i, i + 5) for i in range(50)], "k string, s long, e long")
+        plan = iv.depth_segments(df, ["k"], "s", "e", 16)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "SortAggregate" not in plan
+    assert sum("Sort [" in line and "pos#" not in line for line in plan.splitlines()) <= 2
