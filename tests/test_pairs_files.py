@@ -2,6 +2,7 @@
 
 import gzip
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -63,6 +64,32 @@ def test_extract_and_complete(spark):
     assert {r.decision: r.pairs for r in stats.collect()} == {"O": 1, "R": 1, "W": 1, "D": 1, "G": 1}
 
 
+def test_reference_fill_without_rows_per_segment(spark):
+    """Spans of mixed lengths, some without edges, against segments some of which are empty or turned; one join, no row per segment."""
+    r = random.Random(5)
+    segments = [(r.choice(["c", "d"]), s, s + r.choice([30, 30, 30, 7, 0, -5]), n, r.choice([1, -1]), 30) for n, s in enumerate(range(-900, 9000, 15))]
+    segments += [("c", None, 5, 5000, 1, 30), ("c", 5, None, 5001, 1, 30), segments[100]]
+    spans = []
+    for pair in range(300):
+        lo = r.randint(-1000, 9000)
+        spans.append((pair, r.choice(["c", "d", "e"]), lo, lo + r.choice([-3, 0, 1, 40, 255, 256, 257, 400, 6000]), r.choice([1, -1])))
+    spans += [(300, "c", None, 50, 1), (301, "c", 10, None, 1), (302, None, 10, 500, 1)]
+    part = "array<struct<node:bigint,dir:int,len:bigint,head:bigint,tail:bigint,src:int>>"
+    reaches = spark.createDataFrame(spans, "pair long, lin_chrom string, edge_lo long, edge_hi long, reach_dir int").selectExpr(
+        "*", "0L AS kept_len", *(f"CAST(array() AS {part}) AS {name}" for name in ("part1", "part2", "path1", "path2"))
+    )
+    done = complete.fill_from_reference(reaches, spark.createDataFrame(segments, "chrom string, start long, end long, node long, dir int, len long"))
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    got = {x.pair: [(s.node, s.dir) for s in x.path] for x in done.collect()}
+    for pair, chrom, lo, hi, turn in spans:
+        known = [] if lo is None or hi is None else sorted(
+            (s0, n, d) for c, s0, s1, n, d, _ in segments
+            if c == chrom and s0 is not None and s1 is not None and s0 >= lo and s1 < hi and s1 > lo and s0 < hi
+        )
+        assert got[pair] == [(n, turn * d) for _, n, d in known][::turn]
+    assert sum(map(len, got.values())) > 1000 and len(got) == len(spans)
+
+
 def test_reverse_reference_gap(spark):
     """The fragment runs down the chromosome: the filling is reversed and turned."""
     lengths, edges, g2l, l2g = _tables(spark)
