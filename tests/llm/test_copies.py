@@ -436,3 +436,15 @@ def test_pipeline_stages_on_odd_rows(spark, folder, tricky, nothing):
         assert stage(spark, tricky, folder).count() > 0
     kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, tricky, folder).collect()]
     assert sorted(kept) == sorted(set(kept)) and {0, 1, 2, 5}.issubset(kept) and not {6, 7, 14} & set(kept)
+
+
+def test_nodes_without_another_of_like_size_are_not_compared(spark):
+    """Only nodes that could link by their size reach the trees; every pair that could link stays, exact bounds included."""
+    r = random.Random(3)
+    rows = [(r.randint(1, 12), k, r.choice([1, 17, 20, 85, 100, 300, r.randint(1, 2000)]), r.randint(1, 4)) for k in range(400)]
+    rows += [(99, 1000, 85, 1), (99, 1001, 100, 2), (99, 1002, 5000, 3), (98, 1003, 10, 1), (98, 1004, 10, 1)]
+    for percent in (85, 100):
+        kept = {(x.key, x.id) for x in sigtree._comparable(spark.createDataFrame(rows, "key long, id long, n long, label long"), percent).collect()}
+        needed = {(k, i) for k, i, n, own in rows for k2, _, n2, other in rows if k == k2 and own != other and 100 * min(n, n2) >= percent * max(n, n2)}
+        assert needed <= kept and (99, 1002) not in kept and not {(98, 1003), (98, 1004)} & kept
+    assert ((99, 1000) in needed) is False and len(kept) < len(rows)
