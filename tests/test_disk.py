@@ -7,8 +7,8 @@ import random
 from pyspark.sql import functions as F
 
 from strandloom import session
-from strandloom.model import STEPS
-from strandloom.operators import overlap
+from strandloom.model import SRC_STEPS, STEPS
+from strandloom.operators import growth, overlap
 
 
 def _overlaps(pairs, reads, feats):
@@ -82,3 +82,27 @@ def test_slices_leave_no_shuffle_files(spark, monkeypatch):
     assert len(seen) == 4 and sorted(got.collect(), key=str) == sorted(rows.groupBy("k").agg(F.sum("v").alias("v")).collect(), key=str)
     assert all(0 < part.count() < 51 for part in seen)
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def _growth_rows(spark):
+    rng = random.Random(5)
+    features = [(f, 100.0, [(10 * (f // 2) + k, 1, 100, 0, 0) for k in range(3)]) for f in range(6)]
+    reads, cand = [], []
+    for a in range(90):
+        node = rng.randrange(35)
+        path = [(node, rng.choice([-1, -1, 1]), 100, rng.randrange(60), 0, 1), (node + 1, -1, 100, 0, rng.randrange(60), 1)]
+        reads.append((a, f"r{a}", f"s{a % 3}", 1, 0, 0, 0, "", path))
+        cand += [(f, a) for f in range(6) if abs(10 * (f // 2) + 1 - node) < 9] * (1 + a % 2)
+    return (
+        spark.createDataFrame(cand, "feature long, alignment long"),
+        spark.createDataFrame(reads, f"alignment long, read string, sample string, score long, frag long, mm_total long, mm_index long, lin string, path {SRC_STEPS}"),
+        spark.createDataFrame(features, f"feature long, flen double, path {STEPS}"),
+    )
+
+
+def test_range_growth_of_slices(spark):
+    """The same claims in one slice and in many, though candidates come twice."""
+    cand, reads, features = _growth_rows(spark)
+    once = sorted(tuple(r) for r in growth.range_growth(cand, reads, features, exclusive=False).collect())
+    assert once == sorted(tuple(r) for r in growth.range_growth(cand.distinct(), reads, features, exclusive=False, slice_rows=40).collect())
+    assert {r[2] for r in once} == {0, 1}
