@@ -106,3 +106,13 @@ def test_range_growth_of_slices(spark):
     once = sorted(tuple(r) for r in growth.range_growth(cand, reads, features, exclusive=False).collect())
     assert once == sorted(tuple(r) for r in growth.range_growth(cand.distinct(), reads, features, exclusive=False, slice_rows=40).collect())
     assert {r[2] for r in once} == {0, 1}
+
+
+def test_region_growth_of_slices(spark):
+    """The same assignment in one slice and in many, with a flank; no rows stay cached."""
+    cand, reads, features = _growth_rows(spark)
+    body, flank = cand.filter("alignment % 3 > 0"), cand.filter("alignment % 3 = 0")
+    before = set(spark.sparkContext._jsc.getPersistentRDDs())
+    once, many = (sorted(tuple(r) for r in growth.grow_assign(body, flank, reads, features, "r", 2, slice_rows=n).collect()) for n in (None, 40))
+    assert once == many and {r[9] for r in once} == {0, 1}
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) == before
