@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.evidence import coverage_weight, gtf_attribute
 from strandloom.operators.intervals import merged_spans
+from strandloom.session import sliced
 
 
 def first_target(rows: DataFrame) -> DataFrame:
@@ -63,14 +64,14 @@ def lift_ids(
     ids: str = "ids",
     max_gap: int = 1000,
     stranded: bool = False,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Turn ``a:b:c`` id lists into merged linear regions.
 
     ``regions`` has ``id`` and ``places`` (``chr:s-e:+;...`` or ``NA``). Every other
-    column of ``queries`` identifies a query and is kept.
+    column of ``queries`` identifies a query and is kept. Queries go through in slices of ``slice_rows``.
     """
     kept = [c for c in queries.columns if c != ids]
-    asked = queries.select(*kept, F.explode(F.split(ids, ":")).alias("id"))
     # Places are taken apart once per id, not once per query that names it.
     pattern = r"^(\w+):(\d+)-(\d+):([+-])$"
     places = regions.filter("places <> 'NA'").select("id", F.explode(F.split("places", ";")).alias("_p")).select(
@@ -80,15 +81,21 @@ def lift_ids(
         F.regexp_extract("_p", pattern, 3).alias("_to"),
         (F.regexp_extract("_p", pattern, 4) if stranded else F.lit(".")).alias("_strand"),
     )
-    parsed = asked.join(places, "id").select(
-        *kept, F.col("_chrom").alias("chrom"), F.col("_from").cast("long").alias("start"), F.col("_to").cast("long").alias("end"),
-        F.col("_strand").alias("strand"),
-    )
-    # All regions of a query come from the id list in one input row.
-    spans = merged_spans(parsed, [*kept, "chrom", "strand"], "start", "end", max_gap, tile_width=None)
-    return spans.select(
-        *kept, "chrom", F.col("island_start").alias("start"), F.col("island_end").alias("end"), "strand"
-    )
+
+    def lifted(mine) -> DataFrame:
+        asked = mine(queries).select(*kept, F.explode(F.split(ids, ":")).alias("id"))
+        parsed = asked.join(places, "id").select(
+            *kept, F.col("_chrom").alias("chrom"), F.col("_from").cast("long").alias("start"), F.col("_to").cast("long").alias("end"),
+            F.col("_strand").alias("strand"),
+        )
+        # All regions of a query come from the id list in one input row. They are dealt by query once; merging sends them no further.
+        dealt = parsed.repartition(*kept) if kept else parsed
+        spans = merged_spans(dealt, [*kept, "chrom", "strand"], "start", "end", max_gap, tile_width=None)
+        return spans.select(
+            *kept, "chrom", F.col("island_start").alias("start"), F.col("island_end").alias("end"), "strand"
+        )
+
+    return sliced(queries.count() if kept else 0, kept, lifted, "lifted", slice_rows)
 
 
 def rename_by_cluster(assign: DataFrame, links: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandloom import session
 from strandloom.model import SRC_STEPS, STEPS
-from strandloom.operators import growth, overlap
+from strandloom.operators import growth, overlap, transfer
 
 
 def _overlaps(pairs, reads, feats):
@@ -116,3 +116,16 @@ def test_region_growth_of_slices(spark):
     once, many = (sorted(tuple(r) for r in growth.grow_assign(body, flank, reads, features, "r", 2, slice_rows=n).collect()) for n in (None, 40))
     assert once == many and {r[9] for r in once} == {0, 1}
     assert set(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
+def test_lifted_regions_of_slices(spark):
+    """The same regions in one slice and in many; what is merged was dealt by query once."""
+    rng = random.Random(3)
+    asked = spark.createDataFrame([(i % 25, ":".join(str(rng.randrange(30)) for _ in range(4))) for i in range(40)] + [(None, "1:2")], "name long, ids string")
+    regions = spark.createDataFrame(
+        [(str(i), "NA" if i % 7 == 0 else f"c{i % 2}:{i * 700}-{i * 700 + 300}:+;c1:{i * 90}-{i * 90 + 50}:-") for i in range(30)], "id string, places string"
+    )
+    once = transfer.lift_ids(asked, regions)
+    rows = sorted((tuple(r) for r in once.collect()), key=str)
+    assert rows == sorted((tuple(r) for r in transfer.lift_ids(asked, regions, slice_rows=10).collect()), key=str) and rows
+    assert once._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(name") == 1
