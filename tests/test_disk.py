@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from strandloom import session
 from strandloom.model import SRC_STEPS, STEPS
-from strandloom.operators import growth, overlap, transfer
+from strandloom.operators import extract, growth, overlap, transfer
+from strandloom.sources import text
 
 
 def _overlaps(pairs, reads, feats):
@@ -129,3 +130,18 @@ def test_lifted_regions_of_slices(spark):
     rows = sorted((tuple(r) for r in once.collect()), key=str)
     assert rows == sorted((tuple(r) for r in transfer.lift_ids(asked, regions, slice_rows=10).collect()), key=str) and rows
     assert once._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(name") == 1
+
+
+def test_extracted_pairs_of_slices(spark):
+    """The same pairs in one slice and in many: mates are found by pair, the best score by read."""
+    rng = random.Random(6)
+    lines = []
+    for pair in range(40):
+        n = rng.randrange(1, 9)
+        for mate, path in enumerate((f">{n}>{n + 1}", "*" if pair % 6 == 0 else f"<{n + 2}<{n + 1}")):
+            fields = [f"r{pair % 9}", "100", "0", "100", "+", path, "104", "2", "99", "90", "100", "60", f"AS:i:{rng.randrange(12)}", "cs:Z::100", "dv:f:0.01"]
+            lines.append((pair * 2 + mate, "\t".join(fields)))
+    gaf = text.parse_gaf(spark.createDataFrame(lines, "ordinal long, value string"), ["ordinal"])
+    lengths = spark.createDataFrame([(i, 50 + i) for i in range(1, 9)], "node long, len long")
+    once, many = (sorted(map(str, extract.extract_pairs(gaf, lengths, slice_rows=n).collect())) for n in (None, 9))
+    assert once == many and len(once) > 10
