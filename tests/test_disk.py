@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 from pyspark.sql import functions as F
 
 from strandloom import session
 from strandloom.model import SRC_STEPS, STEPS
-from strandloom.operators import extract, growth, overlap, transfer
+from strandloom.operators import complete, extract, growth, overlap, transfer
 from strandloom.sources import text
 
 
@@ -127,13 +128,13 @@ def test_lifted_regions_of_slices(spark):
         [(str(i), "NA" if i % 7 == 0 else f"c{i % 2}:{i * 700}-{i * 700 + 300}:+;c1:{i * 90}-{i * 90 + 50}:-") for i in range(30)], "id string, places string"
     )
     once = transfer.lift_ids(asked, regions)
+    plan = once._jdf.queryExecution().executedPlan().toString()
     rows = sorted((tuple(r) for r in once.collect()), key=str)
     assert rows == sorted((tuple(r) for r in transfer.lift_ids(asked, regions, slice_rows=10).collect()), key=str) and rows
-    assert once._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(name") == 1
+    assert plan.count("Exchange hashpartitioning(name") == 1
 
 
-def test_extracted_pairs_of_slices(spark):
-    """The same pairs in one slice and in many: mates are found by pair, the best score by read."""
+def _gaf(spark):
     rng = random.Random(6)
     lines = []
     for pair in range(40):
@@ -142,6 +143,24 @@ def test_extracted_pairs_of_slices(spark):
             fields = [f"r{pair % 9}", "100", "0", "100", "+", path, "104", "2", "99", "90", "100", "60", f"AS:i:{rng.randrange(12)}", "cs:Z::100", "dv:f:0.01"]
             lines.append((pair * 2 + mate, "\t".join(fields)))
     gaf = text.parse_gaf(spark.createDataFrame(lines, "ordinal long, value string"), ["ordinal"])
-    lengths = spark.createDataFrame([(i, 50 + i) for i in range(1, 9)], "node long, len long")
+    return gaf, spark.createDataFrame([(i, 50 + i) for i in range(1, 9)], "node long, len long")
+
+
+def test_extracted_pairs_of_slices(spark):
+    """The same pairs in one slice and in many: the best score of a read needs all its pairs."""
+    gaf, lengths = _gaf(spark)
     once, many = (sorted(map(str, extract.extract_pairs(gaf, lengths, slice_rows=n).collect())) for n in (None, 9))
     assert once == many and len(once) > 10
+
+
+def test_completion_leaves_no_checkpoints(spark):
+    """Steps of the completion are tables: the shuffle files of their jobs go, and no row is kept as a checkpoint."""
+    gaf, lengths = _gaf(spark)
+    places = spark.createDataFrame([(i, "c", i * 60, i * 60 + 60) for i in range(1, 12)], "node long, chrom string, start long, end long")
+    l2g = places.select("chrom", "start", "end", "node", F.lit(1).alias("dir"), F.lit(60).cast("long").alias("len"))
+    edges = spark.createDataFrame([(i, 1, i + 1) for i in range(1, 11)], "node long, side int, nbr long")
+    folder = session.ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = {x for x in os.listdir(folder) if x.startswith("rdd-")}
+    keep, _, _ = complete.complete_pairs(extract.extract_pairs(gaf, lengths), edges, places, l2g, lengths, "s", 0.7)
+    assert keep.count() > 5
+    assert {x for x in os.listdir(folder) if x.startswith("rdd-")} <= before
